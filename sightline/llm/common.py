@@ -42,3 +42,10 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
 def text_or_empty(name: str = "text"):
     """A text column as a string whose null is empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer's file, which every machine has installed."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))

@@ -1,0 +1,89 @@
+"""Substring dedup by line hashing.
+
+Units are lines. A line is normalised (A-Z lower-cased, runs of ASCII blanks to one, trimmed) and digested with BLAKE2b to
+128 bits; the digests are grouped globally and the occurrence that ranks first, by doc_id and place, is kept. All
+others are removed, with their offsets in the original text retained. A common line is one row for each task
+after map-side combine; in the join that finds the other occurrences it is split by adaptive execution.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sightline.llm.common import staged, text_or_empty
+
+#: Shorter lines are left alone: headings, signatures and single sentences repeat in clean documents too.
+MIN_WORDS = 20
+UNIT_SCHEMA = "doc_id long, unit int, start long, length long, n_words int, digest binary"
+
+
+def text_units(text: str, min_words: int) -> list[tuple[int, int, int, int, bytes]]:
+    """(unit, start, length, n_words, digest) of each line with enough words; offsets in characters."""
+    out, start = [], 0
+    for unit, line in enumerate(text.split("\n")):
+        if len(line) >= 2 * min_words - 1:
+            words = line.encode("utf-8", "surrogatepass").lower().split()
+            if len(words) >= min_words:
+                out.append((unit, start, len(line), len(words), hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
+        start += len(line) + 1
+    return out
+
+
+def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The units of all documents that have a doc_id."""
+
+    def batches(it):
+        for b in it:
+            ids, found = b.column(0).to_pylist(), []
+            for doc_id, text in zip(ids, b.column(1).to_pylist()):
+                found += [(doc_id, *u) for u in text_units(text, min_words)]
+            names = ["doc_id", "unit", "start", "length", "n_words", "digest"]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            columns = zip(*found) if found else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(batches, UNIT_SCHEMA)
+
+
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """One row per removed unit of ``docs(doc_id, text)``.
+
+    doc_id, unit (line number from 0), start and length (characters of the original text), n_words, and
+    keep_doc_id, keep_unit, keep_start of the kept occurrence: the one with the smallest (doc_id, unit). A repeat
+    inside one document is removed as well. Null or empty texts have no units; rows with a null doc_id cannot be
+    ranked and are left as they are; rows that repeat a doc_id and text count as the same occurrence.
+    """
+    rows = staged(units(docs, min_words), "units")
+    first = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "unit", "start")).alias("keep"), F.count("*").alias("n")).filter("n > 1")
+    found = rows.join(first.select("digest", "keep"), "digest").filter("doc_id <> keep.doc_id or unit <> keep.unit")
+    return found.select(
+        "doc_id", "unit", "start", "length", "n_words",
+        F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.unit").alias("keep_unit"), F.col("keep.start").alias("keep_start"),
+    )
+
+
+def cut(text: str, lines: list[int]) -> str:
+    """``text`` without the given lines."""
+    gone = set(lines)
+    return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with repeated units cut out of ``text``; n_chars follows where it exists, every row and column stays."""
+
+    @F.pandas_udf("string")
+    def rest(text: pd.Series, gone: pd.Series) -> pd.Series:
+        return pd.Series([t if g is None else cut(t or "", g) for t, g in zip(text, gone)], dtype=object)
+
+    gone = repeated_units(docs, min_words).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("unit").alias("__gone"))
+    found = docs.join(gone, docs["doc_id"] == gone["__doc"], "left")
+    touched = F.col("__gone").isNotNull()
+    out = found.withColumn("text", F.when(touched, rest("text", "__gone")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -4,21 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import exact_dedup, simhash
-from sightline.llm.common import table
+from sightline.llm import exact_dedup, lines, packing, simhash
+from sightline.llm.common import table, vocabulary
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op4_substring_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
+    "op4_substring_dedup": """
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit FROM documents),
+        p AS (SELECT doc_id, unit, line, length(line) AS length,
+                     CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) AS BIGINT) - length(line) - 1 AS start,
+                     string_split(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' ') AS words FROM l),
+        u AS (SELECT *, len(words) AS n_words, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit, first_value(start) OVER w AS keep_start
+              FROM p WHERE len(words) >= 20 WINDOW w AS (PARTITION BY words ORDER BY doc_id, unit))
+        SELECT doc_id, CAST(unit AS INTEGER) AS unit, start, length, CAST(n_words AS INTEGER) AS n_words, keep_doc_id, CAST(keep_unit AS INTEGER) AS keep_unit, keep_start
+        FROM u WHERE doc_id <> keep_doc_id OR unit <> keep_unit
+    """,
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
