@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import exact_dedup, lines, packing, simhash
+from sightline.llm import exact_dedup, lines, packing, simhash, tokens
 from sightline.llm.common import table, vocabulary
 
 
@@ -20,11 +20,19 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op4_substring_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op4_substring_dedup, op7_sentencepiece, op8_token_counts, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op4_substring_dedup": """
