@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sightline.llm import exact_dedup, lines, packing, simhash, tokens
+from sightline.llm import exact_dedup, langid, lines, packing, simhash, tokens, toxicity
 from sightline.llm.common import table, vocabulary
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -20,6 +25,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predicted(docs, langid.fit(docs))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -32,7 +42,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_packing, op4_substring_dedup, op7_sentencepiece, op8_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_substring_dedup, op5_language_id, op7_sentencepiece, op8_token_counts, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op4_substring_dedup": """
