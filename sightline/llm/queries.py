@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sightline.llm import exact_dedup, langid, lines, packing, simhash, tokens, toxicity
+from sightline.llm import exact_dedup, langid, lines, mtree, packing, simhash, tokens, toxicity
 from sightline.llm.common import table, vocabulary
 
 
@@ -38,11 +39,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_substring_dedup, op5_language_id, op7_sentencepiece, op8_token_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_substring_dedup, op5_language_id, op7_sentencepiece, op8_token_counts, op9_exact_top_k, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op4_substring_dedup": """
@@ -55,6 +60,12 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(unit AS INTEGER) AS unit, start, length, CAST(n_words AS INTEGER) AS n_words, keep_doc_id, CAST(keep_unit AS INTEGER) AS keep_unit, keep_start
         FROM u WHERE doc_id <> keep_doc_id OR unit <> keep_unit
     """,
+    "op9_exact_top_k": """
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 20
+    """,
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
