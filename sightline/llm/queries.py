@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import exact_dedup, langid, lines, mtree, packing, simhash, tokens, toxicity
+from sightline.llm import chat, exact_dedup, langid, lines, mtree, packing, simhash, tokens, toxicity
 from sightline.llm.common import table, vocabulary
 
 
@@ -31,6 +31,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(docs, langid.fit(docs))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.parsed(chat.transcript(table(spark, sf_dir, "conversations"))))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -47,7 +51,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_packing, op4_substring_dedup, op5_language_id, op7_sentencepiece, op8_token_counts, op9_exact_top_k, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_simhash, op3_packing, op4_substring_dedup, op5_language_id,
+        op6_chat_formatting, op7_sentencepiece, op8_token_counts, op9_exact_top_k, op10_exact_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op4_substring_dedup": """
