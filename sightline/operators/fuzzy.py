@@ -25,16 +25,28 @@ def windowed_score(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0).otherwise(best)
 
 
+def _common(places: dict[str, int], size: int, other: str) -> int:
+    """Length of the longest common subsequence, a bit for each place of the first string."""
+    full = (1 << size) - 1
+    row = full
+    for c in other:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return size - row.bit_count()
+
+
+def _places(text: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 (1 - insertions and deletions / total length)."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * _common(_places(a), len(a), b) / (len(a) + len(b))
 
 
 def partial_ratio(a: str, b: str) -> int:
@@ -44,8 +56,9 @@ def partial_ratio(a: str, b: str) -> int:
     if not a:
         return 0
     n = len(a)
+    places = _places(a)
     windows = {b[max(0, i) : i + n] for i in range(1 - n, len(b))}
-    return round(max(indel_ratio(a, w) for w in windows))
+    return round(max(200.0 * _common(places, n, w) / (n + len(w)) for w in windows))
 
 
 def _partial_ratios(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -48,7 +48,7 @@ def one_image(spark: SparkSession, path: str) -> DataFrame:
 
 def char_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """(idx, ch): a blank at 0, one character a line from 1 on, and a space last. The file is small by nature."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n").alias("chars"))
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n").alias("chars"))
     whole = F.concat(F.array(F.lit("")), F.col("chars"), F.array(F.lit(" ")))
     return lines.select(F.posexplode(whole).alias("idx", "ch"))
 
