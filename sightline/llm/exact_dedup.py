@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import staged, text_or_empty
+from sightline.llm.common import fresh, staged, text_or_empty
 
 #: Aimed-at number of distinct digests in a shard of the index, and bits per key in a level.
 DIGESTS_PER_SHARD = 50_000
@@ -151,7 +151,8 @@ def exact_dedup(docs: DataFrame, historical: Column | None = None) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept. Text moves once, dealt by doc_id and digest."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    keyed = docs.withColumn("__sha256", F.sha2(text_or_empty(), 256))
-    found = keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["__keep"]) & (keyed["__sha256"] == kept["__sha"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "__sha256"]).drop("__sha256")
+    own, sha, keep = (fresh(docs, n) for n in ("own_sha256", "kept_sha256", "kept_id"))
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(sha))
+    keyed = docs.withColumn(own, F.sha2(text_or_empty(), 256))
+    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(keep)) & (F.col(own) == F.col(sha)), "left_semi")
+    return found.dropDuplicates(["doc_id", own]).drop(own)

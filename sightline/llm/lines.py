@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import staged, text_or_empty
+from sightline.llm.common import fresh, staged, text_or_empty
 
 #: Shorter lines are left alone: headings, signatures and single sentences repeat in clean documents too.
 MIN_WORDS = 20
@@ -80,10 +80,11 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def rest(text: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([t if g is None else cut(t or "", g) for t, g in zip(text, gone)], dtype=object)
 
-    gone = repeated_units(docs, min_words).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("unit").alias("__gone"))
-    found = docs.join(gone, docs["doc_id"] == gone["__doc"], "left")
-    touched = F.col("__gone").isNotNull()
-    out = found.withColumn("text", F.when(touched, rest("text", "__gone")).otherwise(F.col("text")))
+    of, lines = fresh(docs, "unit_doc_id"), fresh(docs, "gone_units")
+    gone = repeated_units(docs, min_words).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set("unit").alias(lines))
+    found = docs.join(gone, F.col("doc_id") == F.col(of), "left")
+    touched = F.col(lines).isNotNull()
+    out = found.withColumn("text", F.when(touched, rest("text", lines)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

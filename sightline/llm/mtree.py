@@ -57,9 +57,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact inner products of integer rows."""
-    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1]) < 2.0**53:
+    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
+    if most < 2.0**53:
         return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if most < 2.0**62:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    exact = np.vectorize(int, otypes=[object])
+    return np.clip(exact(a) @ exact(b).T, -(2**62), 2**62).astype(np.int64)
 
 
 def _raised(m: np.ndarray, longest: float) -> np.ndarray:
@@ -175,12 +179,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     """The ``k`` candidates of highest score for each query row of ``vectors(vec_id, embedding)``: query_id, rank, vec_id, score.
 
     Scores are inner products of floor(scale * x). Candidates are all rows but those with the query's own vec_id; ties go to the smaller
-    vec_id; fewer candidates give fewer rows. Unusable vectors (see ``quantised``) take no part; shorter vectors count as padded with zeros.
+    vec_id; fewer candidates give fewer rows. Unusable vectors (see ``quantised``) take no part; scores are clipped to 2^62 either way; shorter vectors count as padded with zeros.
     Rows that repeat a vec_id are candidates each, but a query once. No rows or no queries give an empty result; extra columns are ignored.
     """
     spark = vectors.sparkSession
     rows = staged(quantised(vectors, scale).withColumn("is_query", F.coalesce(is_query, F.lit(False))), "vectors")
-    n, dim, longest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))).first()
+    n, dim, longest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     routing_rows = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(max(1, min(MAX_ROUTING, n // ROWS_PER_ROUTING))).collect()

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import staged, text_or_empty
+from sightline.llm.common import fresh, staged, text_or_empty
 from sightline.llm.graph import connected_components
 
 SEED = 42
@@ -155,6 +155,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame
 
 def representatives(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
     """``docs`` with the document of smallest doc_id of each group, all columns kept; rows without a doc_id stay."""
-    kept = near_duplicates(docs, width, bits).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    found = docs.join(kept, docs["doc_id"] == kept["__keep"], "left")
-    return found.filter("doc_id is null or __keep is not null").drop("__keep")
+    name = fresh(docs, "kept_id")
+    kept = near_duplicates(docs, width, bits).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    found = docs.join(kept, F.col("doc_id") == F.col(name), "left")
+    return found.filter(F.col("doc_id").isNull() | F.col(name).isNotNull()).drop(name)
