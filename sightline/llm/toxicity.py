@@ -27,6 +27,8 @@ from sightline.llm.common import text_or_empty
 #: Expected number of labelled rows of each class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 1500
 MAX_PATTERNS = 400
+#: Least log-likelihood ratio of a pattern: chance alone reaches it about once in 5,000 patterns.
+LEAST_RATIO = 14.0
 #: Lengths of the word starts that are considered.
 STARTS = range(4, 9)
 
@@ -108,14 +110,16 @@ def lexicon(words: list[set[str]], labels: list[int]) -> tuple[dict[str, float],
     for ws, label in zip(words, labels):
         (toxic if label else clean).update({f" {w[:k]}" for w in ws for k in STARTS if len(w) >= k} | {f" {w} " for w in ws})
     n1, n0 = sum(labels), len(labels) - sum(labels)
-    least = max(4, n1 // 300)
+    least = max(3, n1 // 300)
 
     def odds(p: str) -> tuple[float, float]:
-        a, b = toxic[p] + 0.5, clean[p] + 0.5
-        weight = math.log(a / (n1 + 1)) - math.log(b / (n0 + 1))
-        return weight, weight / math.sqrt(1 / a + 1 / b)
+        """Log-odds of a pattern's document frequencies, and the log-likelihood ratio that they differ."""
+        a, b = toxic[p], clean[p]
+        weight = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+        expected = (a + b) / (n1 + n0)
+        return weight, 2 * sum(x * math.log(x / (n * expected)) for x, n in ((a, n1), (b, n0)) if x)
 
-    found = {p: o for p in toxic if toxic[p] >= least and (o := odds(p))[0] >= 1 and o[1] >= 4}
+    found = {p: o for p in toxic if toxic[p] >= least and (o := odds(p))[0] >= 1 and o[1] >= LEAST_RATIO}
     best = sorted(found, key=lambda p: (-found[p][1], p))[:MAX_PATTERNS]
     patterns = {p: round(found[p][0], 6) for p in best}
     exceptions = [p for p in clean if p[-1] == " " and clean[p] >= max(4, n0 // 300) and any(p[:k] in patterns for k in range(2, len(p) + 1)) and odds(p)[0] <= -0.5]
