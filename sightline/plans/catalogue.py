@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry as g
+from sightline.functions import strings
 from sightline.operators import boxes, frames, fuzzy, registry, text, vectors
 from sightline.plans import recognition
 from sightline.sources import sinks
@@ -612,6 +613,24 @@ def q44_text_crops(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", g.resized_width(q, n * 5).alias("w"), F.round(g.unclip_distance(q * n, 2 * (q + n)), 6).alias("grow"))
 
 
+@query("""SELECT page_id, string_split(rtrim(url, '/'), '/')[-1] AS last_part, CASE WHEN trim(url) <> '' THEN trim(url) ELSE CAST(page_id AS VARCHAR) END AS name, page_id || ': ' || printf('%.4f', page_id / 8.0) AS label FROM pages""")
+def q45_names(spark, d):
+    url, page = F.col("url"), F.col("page_id").cast("string")
+    return table(spark, d, "pages").select("page_id", strings.base_name(url).alias("last_part"), strings.one_name(url, page).alias("name"), strings.scored_label(page, F.col("page_id") / 8.0).alias("label"))
+
+
+@query("SELECT user_id, round(avg(value), 6) AS mean_conf, count(*) AS blocks FROM events WHERE value >= 5 GROUP BY user_id")
+def q46_mean_confidence(spark, d):
+    kept = table(spark, d, "events").filter("value >= 5")
+    return kept.groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("mean_conf"), F.count("*").alias("blocks"))
+
+
+@query("SELECT event_id, ts, value FROM events ORDER BY ts, event_id LIMIT 100")
+def q47_first_frames(spark, d):
+    """A capture that stops after 100 frames: the limit is the feature."""
+    return frames.first_rows(table(spark, d, "events").select("event_id", "ts", "value"), ["ts", "event_id"], 100)
+
+
 # --- streams ------------------------------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
+from sightline.functions import strings
 from sightline.functions.hooks import rotated_reading, with_model
 from sightline.operators import frames, registry, vectors
 from sightline.plans import recognition
+from sightline.plans.cache import RegistryCache
 from sightline.sources import frames as capture
 from sightline.sources import sinks, tables
 from sightline.streaming import runs, states
@@ -136,3 +138,26 @@ def test_saves_and_segments(spark, tmp_path):
     assert sinks.latest_per_tick(f, "ts", 0.5).count() == 10
     p = spark.createDataFrame([([0.0, 1.0],), ([300.0, -4.0],)], "p array<double>")
     assert [r[0] for r in p.select(sinks.byte_pixels(F.col("p"))).collect()] == [[0, 255], [255, 0]]
+
+
+def test_registry_cache(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a", 1, "x"), ("b", 1, "y"), ("c", 1, None)], "item string, template_no int, value string").write.parquet(path)
+    state = {"n": 0}
+
+    def save(df):
+        state["n"] += 1
+        df.write.parquet(f"{path}{state['n']}")
+
+    cache = RegistryCache(lambda: spark.read.parquet(f"{path}{state['n'] or ''}"), save)
+    assert {r["item"] for r in cache.names().collect()} == {"a", "b"}
+    cache.enrol(spark.createDataFrame([("b", "z", 2), ("b", "w", 1), ("d", "v", 1)], "item string, value string, o int"), "o", 1)
+    assert {(r["item"], r["value"]) for r in cache.templates.collect()} == {("a", "x"), ("b", "w"), ("c", None), ("d", "v")}
+    merged = cache.enrol_by_key(spark.createDataFrame([("a", 1, "q", 1), ("a", 2, "r", 1)], "item string, template_no int, value string, at int"), "at")
+    assert {(r["item"], r["template_no"], r["value"]) for r in merged.collect() if r["item"] == "a"} == {("a", 1, "q"), ("a", 2, "r")}
+
+
+def test_strings(spark):
+    df = spark.createDataFrame([("a/b.PNG//", None, bytearray("é".encode()))], "p string, n string, r binary")
+    row = df.select(strings.base_name(F.col("p")), strings.is_image(strings.bare_path(F.col("p"))), strings.one_name(F.col("n"), F.lit(" "), F.lit(" z ")), strings.decoded(F.col("r")), strings.ordered_distinct(F.array(F.lit(2), F.lit(1), F.lit(2)))).first()
+    assert tuple(row) == ("b.PNG", True, "z", "é", [2, 1])
