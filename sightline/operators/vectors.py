@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,26 +23,25 @@ def hamming_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-#: Template descriptors that may be broadcast to the queries' tasks.
+#: Template descriptors that may be broadcast to the queries' tasks at once.
 BROADCAST_TEMPLATES = 50_000
 
 
-def nearest_two(queries: DataFrame, templates: DataFrame, query: str, item: str, distance: Column, by: list[str]) -> DataFrame:
+def nearest_two(queries: DataFrame, templates: DataFrame, query: str, query_vector: str, item: str, template_vector: str, distance: Callable[[Column, Column], Column] = squared_distance) -> DataFrame:
     """(query, item, d1, d2): the two smallest distances from each query to each item's templates; null d2 where there is one template.
 
-    ``templates`` is the bounded registry side; beyond BROADCAST_TEMPLATES it meets the queries in slices. The two smallest are kept by an aggregate with
-    map-side combine, not by ranking all pairs.
+    An item has a handful of templates, so they are one array each; the registry is broadcast in slices of whole items, BROADCAST_TEMPLATES at most, and the
+    queries are not shuffled at all.
     """
-    n = templates.count()
-    slices = max(1, -(-n // BROADCAST_TEMPLATES))
+    slices = max(1, -(-templates.count() // BROADCAST_TEMPLATES))
+    items = templates.filter(F.col(template_vector).isNotNull()).groupBy(item).agg(F.collect_list(template_vector).alias("ts"))
     met = None
     for i in range(slices):
-        part = templates if slices == 1 else templates.filter(F.pmod(F.xxhash64(*by), F.lit(slices)) == i)
-        pairs = queries.join(F.broadcast(part)).select(query, item, distance.alias("d"))
+        part = items if slices == 1 else items.filter(F.pmod(F.xxhash64(item), F.lit(slices)) == i)
+        pairs = queries.join(F.broadcast(part)).withColumn("ds", F.array_sort(F.transform("ts", lambda t: distance(F.col(query_vector), t))))
+        pairs = pairs.select(query, item, F.get("ds", F.lit(0)).alias("d1"), F.get("ds", F.lit(1)).alias("d2"))
         met = pairs if met is None else met.unionByName(pairs)
-    w = Window.partitionBy(query, item).orderBy("d")
-    two = met.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
-    return two.groupBy(query, item).agg(F.min("d").alias("d1"), F.max(F.when(F.col("rn") == 2, F.col("d"))).alias("d2"))
+    return met
 
 
 def ratio_passes(pairs: DataFrame, share_of_square: Column) -> Column:

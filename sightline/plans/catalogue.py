@@ -189,7 +189,7 @@ def _pairs(spark, d):
     chosen = _templates(spark, d).select(F.col("vec_id").alias("template"), F.col("label").alias("item"), vectors.quantised(F.col("embedding")).alias("tq"))
     images = table(spark, d, "embeddings").join(chosen.select(F.col("template").alias("vec_id")), "vec_id", "left_anti")
     queries = images.select(F.col("vec_id").alias("query"), vectors.quantised(F.col("embedding")).alias("qq"))
-    return vectors.nearest_two(queries, chosen, "query", "item", vectors.squared_distance(F.col("qq"), F.col("tq")), ["template"])
+    return vectors.nearest_two(queries, chosen, "query", "qq", "item", "tq")
 
 
 @query(f"WITH {PAIRS_SQL} SELECT query, item, d1, d2, coalesce(d1 < {SHARE * SHARE} * d2, false) AS good FROM p")

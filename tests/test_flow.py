@@ -35,7 +35,7 @@ def test_templates_long_and_wide(spark):
 def test_fewer_than_two_neighbours_never_pass(spark):
     q = spark.createDataFrame([(1, [0, 0])], "q int, v array<bigint>")
     t = spark.createDataFrame([("one", 1, [0, 1]), ("two", 2, [0, 1]), ("two", 3, [9, 9])], "i string, t int, w array<bigint>")
-    pairs = vectors.nearest_two(q, t, "q", "i", vectors.squared_distance(F.col("v"), F.col("w")), ["t"])
+    pairs = vectors.nearest_two(q, t, "q", "v", "i", "w")
     found = {r["i"]: r["good"] for r in vectors.good_matches(pairs, "i", 0.7).collect()}
     assert found == {"one": 0, "two": 1}
 
