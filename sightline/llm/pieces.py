@@ -144,7 +144,8 @@ class PieceFst:
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and bytes joined, without the dummy prefix; each invalid byte is one U+FFFD."""
         text = b"".join(map(self.outputs.__getitem__, ids)).decode("utf-8", "one-for-each-byte")
-        return text[1:] if self.dummy and text.startswith(" ") else text
+        first = next((i for i in ids if self.outputs[i]), self.unknown)
+        return text[1:] if self.dummy and text.startswith(" ") and first != self.unknown else text
 
 
 class CountTransducer(PieceFst):
