@@ -1,10 +1,10 @@
 """Tokens, packing, search, models and transcripts against libraries, brute force and held-out rows."""
 
+import functools
 import random
 import zlib
 
 import numpy as np
-import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,6 +22,11 @@ HARD = ["", " ", "  x", "\n", "a\n\nb  \n c ", " " * 77 + "a" + " " * 33, "x▁y
 ROWS = [(1, "a b"), (1, "a b"), (None, "c"), (2, None), (3, ""), (4, "word " * 20_000)]
 
 
+@functools.cache
+def word_library():
+    return Tokenizer.from_file(WORDS)
+
+
 def docs(spark, rows=ROWS):
     return spark.createDataFrame([(i, t, "x", "x", "x") for i, t in rows], "doc_id long, text string, length string, bucket string, rank string")
 
@@ -77,13 +82,19 @@ def test_token_edges(spark):
 
 
 def test_word_bpe_matches_the_library():
-    library, bpe = Tokenizer.from_file(WORDS), WordBpe.at(WORDS)
+    library, bpe = word_library(), WordBpe.at(WORDS)
     for text in [*HARD, "I'LL don't <|startoftext|> x<|endoftext|>y İstanbul ΣΑΣ ﬁ é a\x1cb ½² ß ſ ŉ", "ÀÉ çÑ!! $$$ 3.14"]:
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=" \nabI'lL.,!é ªßſŉ1½$中ΣÉ\u0301\xa0<|", max_size=40))
+def test_word_bpe_on_any_text(text):
+    assert np.frombuffer(WordBpe.at(WORDS).encode(text), "<u4").tolist() == word_library().encode(text, add_special_tokens=False).ids
+
+
 def check_packing(spark, frame, rows):
-    library, expected = Tokenizer.from_file(WORDS), []
+    library, expected = word_library(), []
     for doc_id, text in rows:
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         expected += [(doc_id or -1, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)]
