@@ -5,10 +5,10 @@ read fragments; whole fragments are remembered, up to a bound.
 
 ``PieceFst`` is the composition of normaliser (dummy prefix, blanks to the piece's blank), pieces and byte fallback, taken lazily
 with each input. Its arcs from a position are the pieces that start there. In a unigram model an arc weighs minus its
-score. In a BPE model an arc is present only if the piece can follow the one before it, that is if
-merging their joined text gives these two pieces again; a sequence of pieces is the model's encoding exactly if all its
-neighbours are consistent in this way, so each position has one consistent way to it. The path of least weight in the
-tropical semiring (min, +) is taken in both cases.
+score, and the path of least weight in the tropical semiring (min, +) is taken. In a BPE model an arc weighs nothing if the piece
+can follow the one before it, that is if merging their joined text gives these two pieces again, and infinity else; a sequence of
+pieces is the model's encoding exactly if all its neighbours are consistent in this way, so one path has a finite weight, and
+it is found without relaxing the arcs off it.
 
 ``CountTransducer`` determinises the BPE machine. Its state is the longest end of the input that may still start a piece, with
 the last piece and the relative token count before each place in it; a transition on a character carries the change of the
@@ -19,8 +19,8 @@ from __future__ import annotations
 
 import codecs
 import re
+from array import array
 
-import numpy as np
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
@@ -101,45 +101,92 @@ class PieceFst:
 
     def path(self, fragment: str) -> list[int]:
         """Ids on the shortest path through one normalised fragment."""
+        return self._only_path(fragment) if self.bpe else self._least_path(fragment)
+
+    def _arcs(self, fragment: str, at: int) -> list[str | None]:
+        """Pieces that start at a place, shortest first; None stands for byte fallback, taken where the character is no piece."""
+        out: list[str | None] = [] if fragment[at] in self.ids else [None]
+        end, n, prefixes, ids = at + 1, len(fragment), self.prefixes, self.ids
+        while end <= n and (arc := fragment[at:end]) in prefixes:
+            if arc in ids:
+                out.append(arc)
+            end += 1
+        return out
+
+    def _least_path(self, fragment: str) -> list[int]:
+        """Relaxation of all arcs, in order of place."""
         n = len(fragment)
-        cost: list[float] = [0.0] + [float("inf")] * n
-        last: list[str | None] = [None] * (n + 1)
-        back = [-1] * (n + 1)
+        cost = [0.0] + [float("inf")] * n
+        back: list[tuple[int, str | None]] = [(0, None)] * (n + 1)
         for i in range(n):
-            if cost[i] == float("inf"):
-                continue
-            j = i + 1
-            while j <= n and (arc := fragment[i:j]) in self.prefixes:
-                if arc in self.ids and (not self.bpe or self.consistent(last[i], arc)):
-                    weight = cost[i] + (1.0 if self.bpe else -self.scores[arc])
-                    if weight < cost[j]:
-                        cost[j], last[j], back[j] = weight, arc, i
-                j += 1
-            if fragment[i] not in self.ids and cost[i] + self.fallback_cost < cost[i + 1]:
-                cost[i + 1], last[i + 1], back[i + 1] = cost[i] + self.fallback_cost, None, i
+            for arc in self._arcs(fragment, i):
+                j = i + len(arc or " ")
+                weight = cost[i] + (self.fallback_cost if arc is None else -self.scores[arc])
+                if weight < cost[j]:
+                    cost[j], back[j] = weight, (i, arc)
         out, j = [], n
         while j:
-            i = back[j]
-            out.append([self.ids[last[j]]] if last[j] is not None else self.fallback(fragment[i]))
+            i, arc = back[j]
+            out.append(self.fallback(fragment[i]) if arc is None else [self.ids[arc]])
             j = i
         return [x for ids in reversed(out) for x in ids]
 
+    def _only_path(self, fragment: str) -> list[int]:
+        """The one path of consistent arcs, walked depth first with long arcs before short ones; places without a way on are left for good."""
+        n, at, last, pairs = len(fragment), 0, None, self.pairs
+        steps: list[tuple[int, str | None, list]] = []
+        path: list[str | None] = []
+        dead = set()
+        while at < n:
+            steps.append((at, last, self._arcs(fragment, at)))
+            while True:
+                at, last, arcs = steps[-1]
+                while arcs:
+                    arc = arcs.pop()
+                    end = at + (1 if arc is None else len(arc))
+                    if end in dead:
+                        continue
+                    fits = True if arc is None else pairs.get((last, arc))
+                    if self.consistent(last, arc) if fits is None else fits:
+                        break
+                else:
+                    dead.add(at)
+                    steps.pop()
+                    path.pop()
+                    continue
+                path.append(arc)
+                at, last = end, arc
+                break
+        out, at = [], 0
+        for arc in path:
+            if arc is None:
+                out += self.fallback(fragment[at])
+                at += 1
+            else:
+                out.append(self.ids[arc])
+                at += len(arc)
+        return out
+
     def normalised(self, text: str) -> str:
         return self.dummy + text.replace(" ", BLANK) if text else ""
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian uint32."""
-        out = []
-        for fragment in FRAGMENTS.findall(self.normalised(text)):
-            found = self.memory.get(fragment)
-            if found is None:
-                found = np.array(self.path(fragment), "<u4").tobytes()
-                if len(fragment) <= LONGEST_REMEMBERED:
-                    if len(self.memory) >= MEMORY:
-                        self.memory.clear()
-                    self.memory[fragment] = found
-            out.append(found)
-        return b"".join(out)
+        fragments, memory = FRAGMENTS.findall(self.normalised(text)), self.memory
+        try:
+            return b"".join(map(memory.__getitem__, fragments))
+        except KeyError:
+            pass
+        if len(memory) >= MEMORY:
+            memory.clear()
+        new = set(fragments).difference(memory)
+        for fragment in new:
+            memory[fragment] = array("I", self.path(fragment)).tobytes()
+        out = b"".join(map(memory.__getitem__, fragments))
+        for fragment in new:
+            if len(fragment) > LONGEST_REMEMBERED:
+                del memory[fragment]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and bytes joined, without the dummy prefix; each invalid byte is one U+FFFD."""
