@@ -8,8 +8,8 @@ any other word goes through the library's whole chain.
 from __future__ import annotations
 
 import re
+from array import array
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -53,13 +53,17 @@ class WordBpe:
             if len(self.parts) >= MEMORY:
                 self.parts.clear()
             shown = part.encode().decode("latin1").translate(self.alphabet)
-            found = self.parts[part] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return found
 
     def _word(self, word: str) -> bytes:
         if PLAIN.fullmatch(word) and "<|" not in word:
+            if word.isalpha():
+                return self._part(word.lower())
+            if word[:-1].isalpha() and word[-1] in ".,":
+                return self._part(word[:-1].lower()) + self._part(word[-1])
             return b"".join(map(self._part, PARTS.findall(word.lower())))
-        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
