@@ -151,8 +151,8 @@ def exact_dedup(docs: DataFrame, historical: Column | None = None) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept. Text moves once, dealt by doc_id and digest."""
-    own, sha, keep = (fresh(docs, n) for n in ("own_sha256", "kept_sha256", "kept_id"))
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(sha))
-    keyed = docs.withColumn(own, F.sha2(text_or_empty(), 256))
-    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(keep)) & (F.col(own) == F.col(sha)), "left_semi")
-    return found.dropDuplicates(["doc_id", own]).drop(own)
+    of, own, keep, sha = (fresh(docs, n) for n in ("own_id", "own_sha256", "kept_id", "kept_sha256"))
+    kept = exact_dedup(docs).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(keep), F.col("text_sha256").alias(sha))
+    keyed = docs.withColumn(of, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(own, F.sha2(text_or_empty(), 256))
+    found = keyed.join(kept, (F.col(of) == F.col(keep)) & (F.col(own) == F.col(sha)), "left_semi")
+    return found.dropDuplicates([of, own]).drop(of, own)
