@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, exact_dedup, langid, lines, mtree, packing, simhash, tokens, toxicity
+from sightline.llm import chat, exact_dedup, langid, lines, mtree, packing, passages, simhash, tokens, toxicity
 from sightline.llm.common import table, vocabulary
 
 
@@ -26,6 +26,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeated_units(table(spark, sf_dir, "documents"))
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predicted(docs, langid.fit(docs))
@@ -55,7 +59,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_simhash, op3_packing, op4_substring_dedup, op5_language_id,
-        op6_chat_formatting, op7_sentencepiece, op8_token_counts, op9_exact_top_k, op10_exact_dedup,
+        op6_chat_formatting, op7_sentencepiece, op8_token_counts, op9_exact_top_k, op10_exact_dedup, op4_passage_dedup,
     )
 }
 
