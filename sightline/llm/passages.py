@@ -1,6 +1,6 @@
 """Substring dedup by word windows: passages of MIN_PASSAGE words or more, wherever they begin and end.
 
-Words are what ASCII blanks part, line feeds among them, with A-Z lower-cased. A passage is repeated if each window of MIN_PASSAGE words in it
+Words are what ASCII blanks part, line feeds among them, with A-Z lower-cased; in scripts without blanks each letter is a word. A passage is repeated if each window of MIN_PASSAGE words in it
 occurs earlier, by doc_id and place. Equal windows have equal least grams (winnowing), so neighbouring windows with one least gram
 are first grouped globally as one run: a run that occurs earlier is repeated as a whole, one whose gram occurs once is not repeated, and only what is left, mostly the
 edges of passages, is grouped window by window, by 128-bit digests.
@@ -25,7 +25,10 @@ MIN_PASSAGE = 50
 GRAM = 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MEMO, FLUSH_ROWS = 200_000, 100_000
-WORD = re.compile(r"[^ \t-\r]+")
+#: Thai to Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+HAS_UNSPACED = re.compile(f"[{UNSPACED}]")
+WORD = re.compile(rf"[{UNSPACED}]|[^ \t-\r{UNSPACED}]+")
 PLACE_SCHEMA = "doc_id long, word int, n_words int, start int, stop int, earlier_doc_id long, earlier_word int, a long, b long"
 
 
@@ -41,6 +44,8 @@ class Digests(dict):
 
 def words(text: str) -> list[bytes]:
     """Normalised words, one for each of ``spans``."""
+    if not text.isascii() and HAS_UNSPACED.search(text):
+        return [w.encode("utf-8", "surrogatepass").lower() for w in WORD.findall(text)]
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 

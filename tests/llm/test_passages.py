@@ -46,6 +46,16 @@ def test_planted_inline_passages(spark):
     assert passages.without_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_of_short_lines_and_without_blanks(spark):
+    lines = "\n".join(" ".join(PASSAGE[i : i + 12]) for i in range(0, 60, 12))
+    han = "".join(chr(0x4E00 + i) for i in range(70))
+    rows = [(1, f"Heading\n{lines}\nend"), (2, f"Heading\nother\n{lines}\n"), (3, han), (4, f"see 「{han}」")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["start"], r["n_words"], r["earlier_doc_id"]) for r in passages.repeated_passages(docs).collect()} == {(2, 14, 60, 1), (4, 5, 70, 3)}
+    left = {r["doc_id"]: r["text"] for r in passages.without_passages(docs).collect()}
+    assert left == {1: rows[0][1], 2: "Heading\nother\n\n", 3: han, 4: "see 「」"}
+
+
 def test_a_run_of_one_word_keeps_its_first_window(spark):
     docs = spark.createDataFrame([(1, "x " * 130)], "doc_id long, text string")
     assert [(r["word"], r["n_words"]) for r in passages.repeated_passages(docs).collect()] == [(50, 80)]
