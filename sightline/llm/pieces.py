@@ -45,6 +45,8 @@ class PieceFst:
         kinds = model_pb2.ModelProto.SentencePiece
         if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces or not proto.normalizer_spec.escape_whitespaces:
             raise ValueError("only the identity normaliser is compiled")
+        if any(p.type == kinds.USER_DEFINED for p in proto.pieces):
+            raise ValueError("user-defined pieces are not compiled")
         self.bpe = proto.trainer_spec.model_type == model_pb2.TrainerSpec.BPE
         self.dummy = BLANK if proto.normalizer_spec.add_dummy_prefix else ""
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
