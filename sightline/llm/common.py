@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder of this application's intermediate tables, under ``spark.checkpoint.dir``; where that is unset, on one machine, a local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or LOCAL_SHARED_DIR
+    if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = LOCAL_SHARED_DIR
+    return f"{found}/sightline-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
@@ -32,6 +37,12 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_staged(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application, once its results are written: they are read lazily until then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Remove the files of a staged table that nothing reads any more."""
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

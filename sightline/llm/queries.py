@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, exact_dedup, langid, lines, mtree, packing, passages, simhash, tokens, toxicity
+from sightline.llm import chat, exact_dedup, langid, mtree, packing, passages, simhash, tokens, toxicity
 from sightline.llm.common import table, vocabulary
 
 
@@ -23,10 +23,6 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeated_units(table(spark, sf_dir, "documents"))
-
-
-def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
@@ -59,20 +55,30 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_simhash, op3_packing, op4_substring_dedup, op5_language_id,
-        op6_chat_formatting, op7_sentencepiece, op8_token_counts, op9_exact_top_k, op10_exact_dedup, op4_passage_dedup,
+        op6_chat_formatting, op7_sentencepiece, op8_token_counts, op9_exact_top_k, op10_exact_dedup,
     )
 }
 
 ORACLE_SQL = {
+    # windows of 50 words that occur earlier, joined where they touch; words of scripts with blanks
     "op4_substring_dedup": """
-        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit FROM documents),
-        p AS (SELECT doc_id, unit, line, length(line) AS length,
-                     CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) AS BIGINT) - length(line) - 1 AS start,
-                     string_split(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g')), ' ') AS words FROM l),
-        u AS (SELECT *, len(words) AS n_words, first_value(doc_id) OVER w AS keep_doc_id, first_value(unit) OVER w AS keep_unit, first_value(start) OVER w AS keep_start
-              FROM p WHERE len(words) >= 20 WINDOW w AS (PARTITION BY words ORDER BY doc_id, unit))
-        SELECT doc_id, CAST(unit AS INTEGER) AS unit, start, length, CAST(n_words AS INTEGER) AS n_words, keep_doc_id, CAST(keep_unit AS INTEGER) AS keep_unit, keep_start
-        FROM u WHERE doc_id <> keep_doc_id OR unit <> keep_unit
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\x20\\x09-\\x0D]+|[^\\x20\\x09-\\x0D]+')) AS token,
+                          generate_subscripts(regexp_extract_all(text, '[\\x20\\x09-\\x0D]+|[^\\x20\\x09-\\x0D]+'), 1) AS k FROM documents),
+        p AS (SELECT *, CAST(sum(length(token)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS stop FROM t),
+        w AS (SELECT doc_id, stop - length(token) AS start, stop, translate(token, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w,
+                     row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS word FROM p WHERE NOT regexp_matches(token, '^[\\x20\\x09-\\x0D]')),
+        d AS (SELECT doc_id, list(w ORDER BY word) AS ws FROM w GROUP BY doc_id HAVING count(*) >= 50),
+        o AS (SELECT doc_id, unnest(range(len(ws) - 49)) AS word, ws FROM d),
+        h AS (SELECT doc_id, word, md5(array_to_string(ws[word + 1:word + 50], ' ')) AS digest FROM o),
+        f AS (SELECT doc_id, word, first_value(doc_id) OVER r AS earlier_doc_id, first_value(word) OVER r AS earlier_word
+              FROM h WINDOW r AS (PARTITION BY digest ORDER BY doc_id, word)),
+        a AS (SELECT * FROM f WHERE doc_id <> earlier_doc_id OR word >= earlier_word + 50),
+        n AS (SELECT *, CASE WHEN word <= lag(word) OVER (PARTITION BY doc_id ORDER BY word) + 50 THEN 0 ELSE 1 END AS new FROM a),
+        i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY word) AS run FROM n),
+        g AS (SELECT doc_id, min(word) AS word, max(word) + 50 AS past, arg_min(earlier_doc_id, word) AS earlier_doc_id, arg_min(earlier_word, word) AS earlier_word FROM i GROUP BY doc_id, run)
+        SELECT g.doc_id, CAST(g.word AS INTEGER) AS word, CAST(past - g.word AS INTEGER) AS n_words, CAST(b.start AS INTEGER) AS start, CAST(e.stop - b.start AS INTEGER) AS length,
+               earlier_doc_id, CAST(earlier_word AS INTEGER) AS earlier_word
+        FROM g JOIN w b ON g.doc_id = b.doc_id AND g.word = b.word JOIN w e ON g.doc_id = e.doc_id AND g.past = e.word + 1
     """,
     "op9_exact_top_k": """
         WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings

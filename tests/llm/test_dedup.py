@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sightline.llm import exact_dedup, graph, lines, queries, simhash
+from sightline.llm import exact_dedup, graph, queries, simhash
 
 DOCS = "doc_id long, text string, source string, id string, digest string, fp string, unit string, __keep string"
 EDGES = [
@@ -140,18 +140,3 @@ def test_components_of_a_chain_and_a_hub(spark):
     found = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 100 for i in range(100, 161)} | {i: 1 for i in range(1, 60)}
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-LONG = " ".join(f"word{i}" for i in range(25))
-
-
-def test_lines_keep_the_earliest(spark):
-    rows = [(3, f"head\n{LONG}\ntail"), (1, f"{LONG.upper()}  "), (2, f"{LONG}\n{LONG}"), (None, LONG), (4, None), (5, ""), (6, "short line\n" * 3)]
-    docs = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in rows], "doc_id long, text string, n_chars long, digest string")
-    got = sorted((r["doc_id"], r["unit"], r["start"], r["length"], r["keep_doc_id"]) for r in lines.repeated_units(docs).collect())
-    n = len(LONG)
-    assert got == [(2, 0, 0, n, 1), (2, 1, n + 1, n, 1), (3, 1, 5, n, 1)]
-    out = {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines.without_repeats(docs).collect()}
-    assert out[3] == ("head\ntail", 9) and out[2] == ("", 0) and out[1][0] == f"{LONG.upper()}  " and out[None][0] == LONG and out[4][0] is None
-    assert lines.without_repeats(docs).columns == docs.columns and lines.repeated_units(docs.limit(0)).count() == 0
-    assert lines.without_repeats(docs.limit(0)).count() == 0
