@@ -24,15 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import discard, fresh, staged, text_or_empty
-from sightline.llm.words import numbered, ragged, slices
+from sightline.llm.words import Memory, numbered, ragged, slices
 
 #: Words of the shortest passage that is cut.
 MIN_PASSAGE = 50
 #: Words of a gram; a window holds MIN_PASSAGE - GRAM + 1 of them.
 GRAM = 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Words whose digests a worker remembers, the longest of them in characters.
-MEMO, LONGEST_REMEMBERED = 500_000, 64
 #: Thai to Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 WORD = re.compile(rf"[{UNSPACED}]|[^ \t-\r{UNSPACED}]+")
@@ -75,20 +73,16 @@ class Digests:
     """128-bit digests of words, remembered up to a bound."""
 
     def __init__(self):
-        self.memo: dict[str, bytes] = {}
+        self.memory = Memory()
 
     def of(self, found: pa.Array) -> np.ndarray:
         """(2, n) halves of the words' digests."""
         at, distinct = numbered(found)
-        memo = self.memo
-        if len(memo) + len(distinct) > MEMO:
-            memo.clear()
-        out = list(map(memo.get, distinct))
+        out = self.memory.get(distinct)
         for i, d in enumerate(out):
             if d is None:
                 out[i] = hashlib.blake2b(distinct[i].encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if len(distinct[i]) <= LONGEST_REMEMBERED and len(memo) < MEMO:
-                    memo[distinct[i]] = out[i]
+                self.memory.put(distinct[i], out[i])
         return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2).T[:, at]
 
 

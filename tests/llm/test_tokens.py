@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,15 +51,62 @@ def test_machines_on_hard_texts_and_random_ids():
         assert fst.decode(ids) == LIBRARY.decode(ids)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=" \n▁abthe中é😀", max_size=30), max_size=8))
+def test_batches_match_the_library(texts):
+    column, ids = pa.array(texts, pa.string()), [LIBRARY.encode(t) for t in texts]
+    assert CountTransducer.at(MODEL).count_all(column).tolist() == [len(x) for x in ids]
+    got, sizes, intact = PieceFst.at(MODEL).encode_all(column)
+    assert got.tolist() == sum(ids, []) and sizes.tolist() == [len(x) for x in ids]
+    assert intact.tolist() == [LIBRARY.decode(x) == t for x, t in zip(ids, texts)]
+
+
 def test_composition_is_associative():
     counter, rng = CountTransducer.at(MODEL), random.Random(4)
     for _ in range(200):
-        a, b, c = (counter.chunk_map("".join(rng.choice("▁▁ab\nc") for _ in range(rng.randrange(6)))) for _ in range(3))
+        text = "".join(rng.choice("▁theabcé") for _ in range(24))
+        maps = [counter.chunk_map(text[:i], text[i : i + 8]) for i in (0, 8, 16)]
+        a, b, c = maps
         assert counter.composed(counter.composed(a, b), c) == counter.composed(a, counter.composed(b, c))
+        assert counter.composed(counter.composed(a, b), c)[1][0] == counter.run(text)
+
+
+def test_long_fragments_by_chunk_maps():
+    counter, rng = CountTransducer.at(MODEL), random.Random(6)
+    for size in (200, 5000):
+        text = "".join(rng.choice(["the", "ing", "er", "x", "q", "é", "中"]) for _ in range(size))
+        assert counter.count(text, 7) == counter.count(text, 64) == counter.count(text) == len(LIBRARY.encode(text))
+
+
+def unigram_model(path):
+    """The installed model's pieces as a unigram model, so that weights decide."""
+    from sentencepiece import sentencepiece_model_pb2 as model_pb2
+
+    proto = model_pb2.ModelProto()
+    proto.ParseFromString(LIBRARY.serialized_model_proto())
+    proto.trainer_spec.model_type = model_pb2.TrainerSpec.UNIGRAM
+    rng = random.Random(8)
+    for p in proto.pieces:
+        if p.type == model_pb2.ModelProto.SentencePiece.NORMAL:
+            p.score = -rng.uniform(4, 14)
+    path.write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+def test_shortest_path_of_a_unigram_model(tmp_path):
+    path = unigram_model(tmp_path / "unigram.model")
+    library, fst, rng = sentencepiece.SentencePieceProcessor(model_file=path), PieceFst(path), random.Random(3)
+    for text in ["the quick brown fox", "a  b\n\nc ", "", "中文 é 😀", *(" ".join("".join(rng.choice("thequickérown") for _ in range(9)) for _ in range(12)) for _ in range(60))]:
+        ids, expected = np.frombuffer(fst.encode(text), "<u4").tolist(), library.encode(text)
+        weight = lambda x: sum(map(library.get_score, x))
+        assert ids == expected or abs(weight(ids) - weight(expected)) < 1e-3 and library.decode(ids) == library.decode(expected)  # equal but for ties
+        assert fst.encode_all(pa.array([text]))[0].tolist() == ids
 
 
 def test_memories_can_start_anew(monkeypatch):
     monkeypatch.setattr("sightline.llm.pieces.MEMORY", 50)
+    monkeypatch.setattr("sightline.llm.pieces.AT_ONCE", 30)
+    monkeypatch.setattr("sightline.llm.words.MEMORY", 50)
     counter = CountTransducer(MODEL)
     text = " ".join(f"w{i}ord{i * 7}" for i in range(400))
     assert counter.count(text) == len(LIBRARY.encode(text)) == len(PieceFst(MODEL).encode(text)) // 4
