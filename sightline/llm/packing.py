@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import staged, text_or_empty
 from sightline.llm.wordbpe import WordBpe
+from sightline.llm.words import slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -35,20 +36,23 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of all documents: a document's ids, then ``end_id``, cut every ``capacity`` ids."""
-    end = np.array([end_id], "<u4").tobytes()
 
     def batches(it):
         bpe = WordBpe.at(vocabulary)
         for b in it:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = bpe.encode(text) + end
-                for k in range(0, len(ids), 4 * capacity):
-                    part = ids[k : k + 4 * capacity]
-                    rows.append((doc_id, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            columns = zip(*rows) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            for part in slices(b, "text"):
+                ids, sizes = bpe.encode_all(part.column(1))
+                raw = memoryview(np.insert(ids, np.cumsum(sizes), end_id).astype("<u4").tobytes())
+                sizes = sizes + 1
+                count = -(-sizes // capacity)
+                of = np.repeat(np.arange(len(sizes)), count)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(sizes[of] - start, capacity)
+                at = (4 * ((np.cumsum(sizes) - sizes)[of] + start)).tolist()
+                crc = [zlib.crc32(raw[a : a + 4 * n]) for a, n in zip(at, length.tolist())]
+                columns = [part.column(0).take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(batches, PIECE_SCHEMA)
 
@@ -222,11 +226,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     rows. Whole texts are used whatever their length; extra columns are ignored.
     """
     spark = docs.sparkSession
-    rows = staged(pieces(docs, vocabulary, capacity, end_id), "pieces")
+    rows = staged(pieces(docs, vocabulary, capacity, end_id).withColumn("row", F.monotonically_increasing_id()), "pieces")  # fixed once written
     lengths = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     places = spark.sparkContext.broadcast(_intervals(plan(lengths, capacity)))
     buckets = max(64, sum(lengths.values()) // PIECES_PER_BUCKET)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("bucket", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("bucket", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

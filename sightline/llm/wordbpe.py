@@ -10,11 +10,14 @@ from __future__ import annotations
 import re
 from array import array
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-#: Words that are remembered at once by a worker; past it the memory starts anew.
-MEMORY = 300_000
+from sightline.llm.words import Memory, gathered, numbered
+
 # fixed values: the pre-tokenizer's pattern of the vocabulary
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Characters whose lower case and composition do not depend on anything around them.
@@ -29,7 +32,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class WordBpe:
-    """``encode(text)``: the ids as little-endian uint32 bytes."""
+    """Ids of words as little-endian uint32 bytes, and of whole columns of texts."""
 
     _open: dict[str, WordBpe] = {}
 
@@ -37,8 +40,7 @@ class WordBpe:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.alphabet = str.maketrans({chr(b): c for b, c in _byte_alphabet().items()})
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Memory(), Memory()
 
     @classmethod
     def at(cls, path: str) -> WordBpe:
@@ -48,12 +50,11 @@ class WordBpe:
         return cls._open[path]
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
+        found = self.parts.get([part])[0]
         if found is None:
-            if len(self.parts) >= MEMORY:
-                self.parts.clear()
             shown = part.encode().decode("latin1").translate(self.alphabet)
-            found = self.parts[part] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            self.parts.put(part, found)
         return found
 
     def _word(self, word: str) -> bytes:
@@ -65,14 +66,19 @@ class WordBpe:
             return b"".join(map(self._part, PARTS.findall(word.lower())))
         return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
 
+    def _remembered(self, found: list[str]) -> list[bytes]:
+        out = self.words.get(found)
+        for i, ids in enumerate(out):
+            if ids is None:
+                out[i] = self._word(found[i]) if found[i] else b""
+                self.words.put(found[i], out[i])
+        return out
+
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.words) >= MEMORY:
-            self.words = {"": b""}
-        for w in set(words).difference(self.words):
-            self.words[w] = self._word(w)
-        return b"".join(map(self.words.__getitem__, words))
+        return b"".join(self._remembered(text.replace("\n", " ").split(" ")))
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        codes, distinct = numbered(lists.flatten())
+        return gathered(self._remembered(distinct), codes, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
