@@ -387,15 +387,14 @@ class CountTransducer(PieceFst):
         """The transition of a state on a character: (next state, change of the token count)."""
         end, places = self.states[state]
         emitted, piece, n = None, None, len(end)
-        if char in self.ids:
-            for k, last, before in places:
-                arc = end[n - k :] + char
-                if arc in self.ids and self.consistent(last, arc):
-                    emitted, piece = before + 1, arc
-                    break
+        for k, last, before in places:  # a longer arc may hold a character that is no piece
+            arc = end[n - k :] + char
+            if arc in self.ids and self.consistent(last, arc):
+                emitted, piece = before + 1, arc
+                break
         if emitted is None:
             emitted = len(self.fallback(char))
-        kept = tuple((k + 1, last, before - emitted) for k, last, before in places if end[n - k :] + char in self.longer) if char in self.longer else ()
+        kept = tuple((k + 1, last, before - emitted) for k, last, before in places if end[n - k :] + char in self.longer)
         following = ((end + char)[n - kept[0][0] + 1 :] if kept else "", (*kept, (0, piece, 0)))
         number = self.numbers.setdefault(following, len(self.states))
         if number == len(self.states):
