@@ -18,13 +18,21 @@ def laplacian(pixels: Column, width: int, height: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), one)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: a lambda's variable is not written out at each use, as a column expression is."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def sharpness(pixels: Column, width: int, height: int) -> Column:
     """Population variance of the Laplacian over the area, exact for integer pixels."""
     n = width * height
-    lap = laplacian(pixels, width, height)
-    total = F.aggregate(lap, F.lit(0).cast("long"), lambda s, x: s + x)
-    square = F.aggregate(lap, F.lit(0).cast("long"), lambda s, x: s + x * x)
-    return (n * square - total * total).cast("double") / float(n) / float(n) / float(n)
+
+    def variance(lap: Column) -> Column:
+        total = F.aggregate(lap, F.lit(0).cast("long"), lambda s, x: s + x)
+        square = F.aggregate(lap, F.lit(0).cast("long"), lambda s, x: s + x * x)
+        return (n * square - total * total).cast("double") / float(n) / float(n) / float(n)
+
+    return _bound(pixels, lambda p: _bound(laplacian(p, width, height), variance))
 
 
 def central_roi(width: int, height: int, ratio: float = 0.8) -> tuple[int, int, int, int]:

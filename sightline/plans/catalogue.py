@@ -302,6 +302,21 @@ def q17b_softmax(spark, d):
     return rows.select("vec_id", F.round(p[0], 9).alias("p1"), F.round(p[3], 9).alias("p4"))
 
 
+@query("""
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), i AS (SELECT vec_id, v, unnest(range(8)) AS i FROM e),
+    s AS (SELECT vec_id, i, list_max(v) > 1 OR list_min(v) < 0 AS outside, v[8 * i + 1:8 * i + 8] AS r FROM i), m AS (SELECT *, list_max(r) AS m FROM s),
+    b AS (SELECT vec_id, i, list_position(r, m) - 1 AS c, CASE WHEN outside THEN 1 / list_sum(list_transform(r, lambda y: exp(y - m))) ELSE m END AS p FROM m),
+    k AS (SELECT *, coalesce(lag(c) OVER (PARTITION BY vec_id ORDER BY i) <> c, true) AND c <> 0 AS kept FROM b)
+    SELECT vec_id, coalesce(string_agg(substr('abcdefg', CAST(c AS INTEGER), 1), '' ORDER BY i) FILTER (kept), '') AS text, round(coalesce(avg(p) FILTER (kept), 0), 9) AS confidence FROM k GROUP BY vec_id
+""")
+def q17c_ctc_decode(spark, d):
+    """A vector read as eight steps of eight scores."""
+    scores = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.transform(F.slice("embedding", i * 8 + 1, F.lit(8)), lambda x: x.cast("double")))
+    rows = table(spark, d, "embeddings").select("vec_id", scores.alias("scores"))
+    found = text.ctc_decode(rows, "scores", F.array(*[F.lit(c) for c in ("", *"abcdefg")]))
+    return found.select("vec_id", "text", F.round("confidence", 9).alias("confidence"))
+
+
 # --- fuzzy matching ---------------------------------------------------------------------------------------------------
 
 NOISY_SQL = """CASE p_partkey % 4 WHEN 0 THEN substr(p_name, 1, CAST(p_partkey % length(p_name) AS INTEGER)) || 'x' || substr(p_name, CAST(p_partkey % length(p_name) AS INTEGER) + 2)
@@ -469,19 +484,70 @@ def _mask(spark, d):
     return rows
 
 
-@query()
+PIXELS_SQL = "SELECT DISTINCT l_suppkey AS frame, CAST(l_partkey % 60 AS INTEGER) AS x, CAST(l_orderkey % 40 AS INTEGER) AS y FROM lineitem WHERE "
+REGIONS_SQL = """e AS (SELECT a.frame, a.x AS ax, a.y AS ay, b.x, b.y FROM p a JOIN p b ON a.frame = b.frame AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+    r AS (SELECT frame, x AS ax, y AS ay, x, y FROM p UNION SELECT r.frame, r.ax, r.ay, e.x, e.y FROM r JOIN e ON r.frame = e.frame AND r.x = e.ax AND r.y = e.ay),
+    o AS (SELECT frame, ax AS x, ay AS y, min(y * 1000 + x) AS root FROM r GROUP BY ALL),
+    g AS (SELECT frame, root, count(*) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM o GROUP BY frame, root),
+    n AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY root) - 1 AS region FROM g)"""
+
+
+@query(f"WITH RECURSIVE p AS ({PIXELS_SQL} l_quantity > 30), {REGIONS_SQL} SELECT frame, CAST(region AS INTEGER) AS region, CAST(area AS INTEGER) AS area, x, y, w, h FROM n WHERE area >= 3")
 def q36_components(spark, d):
-    """8-connected regions; tests hold them against a flood fill."""
+    """8-connected regions; tests hold them against a flood fill as well."""
     return boxes.components(_mask(spark, d).filter("l_quantity > 30"), "frame", 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS ({PIXELS_SQL} CAST(trunc(l_quantity * 3) AS INTEGER) BETWEEN 90 AND 145), {REGIONS_SQL}
+    SELECT frame, CAST(area AS INTEGER) AS area, greatest(x - 10, 0) AS x1, greatest(y - 10, 0) AS y1, least(x + w + 10, 60) AS x2, least(y + h + 10, 40) AS y2
+    FROM n QUALIFY row_number() OVER (PARTITION BY frame ORDER BY area DESC, region) = 1""")
 def q40_largest_region(spark, d):
     """Colour range, then the largest region of each frame, padded."""
     pixels = _mask(spark, d).select("frame", "x", "y", (F.col("l_quantity") * 3).cast("int").alias("h"), F.lit(100).alias("s"), F.lit(200).alias("v"))
     return boxes.largest_region(boxes.components(boxes.colour_mask(pixels), "frame"), "frame", 60, 40, 10)
 
 
+@query("SELECT l_orderkey, l_linenumber, l_quantity * 40 AS area, l_quantity AS w, l_linenumber * 5 AS h FROM lineitem WHERE l_quantity * 40 >= 500 AND l_quantity / (l_linenumber * 5) > 1.2 AND l_quantity / (l_linenumber * 5) < 6")
+def q39_contour_gate(spark, d):
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    return boxes.contour_gate(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (q * 40).alias("area"), q.alias("w"), (n * 5).alias("h")))
+
+
+@query("""WITH c AS (SELECT l_suppkey AS image, l_orderkey AS contour, CAST(max(l_linenumber) AS INTEGER) AS n_points, max(l_quantity) / 4 AS side, max(l_discount) * 10 AS score FROM lineitem GROUP BY ALL),
+    f AS (SELECT *, side * 1.45 AS grown_side FROM c QUALIFY row_number() OVER (PARTITION BY image ORDER BY contour) <= 50)
+    SELECT image, contour, n_points, side, score FROM f WHERE n_points >= 4 AND side >= 3 AND score >= 0.5 AND grown_side >= 5""".replace("1.45", "CAST(1.45 AS DOUBLE)"))
+def q39b_text_box_gate(spark, d):
+    """Text-box candidates; the limit of candidates an image is the feature."""
+    found = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("image"), F.col("l_orderkey").alias("contour")).agg(
+        F.max("l_linenumber").alias("n_points"), (F.max("l_quantity") / 4).alias("side"), (F.max("l_discount") * 10).alias("score"))
+    return boxes.text_box_gate(found.withColumn("grown_side", F.col("side") * 1.45), limit=50).drop("grown_side")
+
+
+@query("""WITH b AS (SELECT l_suppkey AS image, l_partkey % 60 AS x, l_orderkey % 40 AS y, l_discount AS p, l_suppkey % 10 AS k FROM lineitem)
+    SELECT image, 1 AS box, round(avg(p), 9) AS mean FROM b
+    WHERE 35 * (y - 5) - (8 + k - 5) * (x - 5) >= 0 AND 5 * (y - 8 - k) - (22 - k) * (x - 40) >= 0 AND -42 * (y - 30) - (28 - 30) * (x - 45) >= 0 AND 2 * (y - 28) - (5 - 28) * (x - 3) >= 0
+    GROUP BY image""")
+def q35b_region_mean(spark, d):
+    """The mean of the pixels inside a quadrilateral that leans by the image's number."""
+    pixels = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("image"), (F.col("l_partkey") % 60).alias("x"), (F.col("l_orderkey") % 40).alias("y"), F.col("l_discount").alias("p"))
+    point = lambda x, y: F.struct(F.lit(x).cast("long").alias("x"), y.cast("long").alias("y"))
+    points = F.array(point(5, F.lit(5)), point(40, 8 + F.col("image") % 10), point(45, F.lit(30)), point(3, F.lit(28)))
+    found = table(spark, d, "supplier").select(F.col("s_suppkey").alias("image")).select("image", F.lit(1).alias("box"), points.alias("points"))
+    return boxes.region_mean(pixels, found).select("image", "box", F.round("mean", 9).alias("mean"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS ax, l_suppkey % 40 AS ay, 50 + l_orderkey % 60 AS bx, l_partkey % 30 AS ay2, 50 + l_suppkey % 70 AS cx, 40 + l_orderkey % 90 AS cy, l_partkey % 40 AS dx, 40 + l_suppkey % 50 AS dy FROM lineitem),
+    s AS (SELECT l_orderkey, l_linenumber, CAST(trunc(greatest(sqrt((ax - bx) * (ax - bx) + (ay - ay2) * (ay - ay2)), sqrt((dx - cx) * (dx - cx) + (dy - cy) * (dy - cy)))) AS INTEGER) AS w,
+                 CAST(trunc(greatest(sqrt((ax - dx) * (ax - dx) + (ay - dy) * (ay - dy)), sqrt((bx - cx) * (bx - cx) + (ay2 - cy) * (ay2 - cy)))) AS INTEGER) AS h FROM c)
+    SELECT *, h >= w * 1.5 AS turned FROM s""")
+def q44b_crop_size(spark, d):
+    """Size of a perspective crop from its corners: top left, top right, bottom right, bottom left."""
+    o, k, s = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    size = g.crop_size(corner(k % 50, s % 40), corner(50 + o % 60, k % 30), corner(50 + s % 70, 40 + o % 90), corner(k % 40, 40 + s % 50))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", size.alias("c")).select("l_orderkey", "l_linenumber", "c.*")
+
+
 FIT = "q AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 1700 AS INTEGER) AS x, CAST(l_orderkey % 900 AS INTEGER) AS y, CAST(l_quantity AS INTEGER) * 9 AS w, l_linenumber * 61 AS h FROM lineitem)"
 
 
@@ -642,17 +708,18 @@ def q50_spacing_stream(spark, d):
 
 @query("SELECT user_id, array_to_string(list_sort(list(event_id)), ',') AS held FROM (SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 30) GROUP BY user_id")
 def q51_latest_stream(spark, d):
-    """One file is one micro-batch here, so the update of the last batch is the final buffer."""
+    """Each micro-batch updates the buffers of its users; the last update of a user is the final one."""
     rows = states.latest_stream(runs.event_stream(spark, d), "user_id", "seconds", "event_id", 30)
-    out = runs.drained(rows, "update")
+    out = runs.drained(rows, "update", "user_id")
     return out.select("user_id", F.array_join(F.array_sort("held").cast("array<string>"), ",").alias("held"))
 
 
-@query()
+@query("""SELECT date_trunc('hour', ts) AS window_start, event_id AS best, value AS score FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)
+    QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY value DESC, event_id) = 1""")
 def q52_best_per_window_stream(spark, d):
     """Closed windows only: the last ones stay open at the end of the input."""
     rows = states.best_per_window(runs.event_stream(spark, d), "ts", "value", "event_id", "1 hour", "10 minutes")
-    return runs.drained(rows)
+    return runs.drained(rows).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 # --- the whole flow ---------------------------------------------------------------------------------------------------------
@@ -673,7 +740,9 @@ def q60_recognise_and_reconcile(spark, d):
     return recognition.reconciled(rows, part.select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name")))
 
 
-@query()
+@query(f"""WITH {SCORED_SQL}, m AS (SELECT text, array_to_string(list(name ORDER BY rank), ',') AS found FROM k GROUP BY text), a AS (SELECT array_to_string(list(name ORDER BY name), ',') AS every FROM r),
+    s AS (SELECT q.text, found, every, CASE WHEN length(trim(q.text)) < 3 THEN 'empty_text' WHEN found IS NOT NULL THEN 'matched' ELSE 'all_names' END AS status FROM q LEFT JOIN m ON q.text = m.text, a)
+    SELECT text, status, CASE status WHEN 'matched' THEN found WHEN 'all_names' THEN every ELSE '' END AS candidates FROM s""")
 def q61_recognised_texts(spark, d):
     """Guard, candidates and fallback of every distinct recognised text."""
     found = recognition.recognised(_noisy(spark, d), table(spark, d, "part"), "text", "p_name")

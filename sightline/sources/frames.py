@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
@@ -52,25 +53,41 @@ class Capture:
 
 
 class _Reader(SimpleDataSourceStreamReader):
-    def __init__(self, options: dict):
-        self.count, self.batch, self.fps = int(options.get("frames", 100)), int(options.get("batch", 10)), float(options.get("fps", 25))
+    """Pulls at most ``batch`` frames at a time from a capture; replays by reading it anew up to the offset."""
+
+    def __init__(self, capture: Capture, batch: int, attempts: int):
+        self.capture, self.batch, self.attempts, self.open, self.at = capture, batch, attempts, None, 0
 
     def initialOffset(self) -> dict:
         return {"frame": 0}
 
-    def _rows(self, start: int, end: int) -> Iterator[tuple]:
-        return iter([(i, i / self.fps, str(i).encode()) for i in range(start, end)])
+    def _from(self, start: int) -> Iterator:
+        if self.open is None or self.at != start:
+            self.open = islice(self.capture.frames(self.attempts), start, None)
+        return self.open
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end = min(self.count, start["frame"] + self.batch)
-        return self._rows(start["frame"], end), {"frame": end}
+        first = start["frame"]
+        rows = [(first + i, float(t), bytes(content)) for i, (t, content) in enumerate(islice(self._from(first), self.batch))]
+        if not rows and first == 0:
+            raise ConnectionError(f"no frame in {self.attempts} connections")
+        self.at = first + len(rows)
+        return iter(rows), {"frame": self.at}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(start["frame"], end["frame"])
+        frames = islice(self.capture.frames(self.attempts), start["frame"], end["frame"])
+        return iter([(start["frame"] + i, float(t), bytes(content)) for i, (t, content) in enumerate(frames)])
 
 
 class FrameSource(DataSource):
-    """``spark.readStream.format("frames")``: numbered frames at a steady rate, replayable by offset; options frames, batch, fps."""
+    """``spark.readStream.format("frames")``: the frames of a capture, numbered in the order of acceptance; options frames, batch, fps, attempts.
+
+    The capture's reconnects, skips and rate limit (twice the target rate) stand behind it; a start without a frame raises ConnectionError. Without an opener of its own
+    it yields numbered frames at a steady rate. ``frame_source`` makes one for a camera.
+    """
+
+    opener: Callable[[], Iterator] | None = None
+    capture_options: dict = {}
 
     @classmethod
     def name(cls) -> str:
@@ -80,4 +97,13 @@ class FrameSource(DataSource):
         return FRAME_SCHEMA
 
     def simpleStreamReader(self, schema) -> _Reader:
-        return _Reader(self.options)
+        count, fps = int(self.options.get("frames", 100)), float(self.options.get("fps", 25))
+        opener, options = type(self).opener, dict(type(self).capture_options)
+        if opener is None:
+            opener, options = (lambda: ((i / fps, str(i).encode()) for i in range(count))), {"skip": 0}
+        return _Reader(Capture(opener, fps=2 * fps, **options), int(self.options.get("batch", 10)), int(self.options.get("attempts", 3)))
+
+
+def frame_source(source: str, opener: Callable[[], Iterator], **capture) -> type[DataSource]:
+    """A source class of the given name over an opener, with a Capture's other settings; ``spark.dataSource.register`` takes it."""
+    return type("FrameSourceOf", (FrameSource,), {"opener": staticmethod(opener), "capture_options": capture, "name": classmethod(lambda cls: source)})

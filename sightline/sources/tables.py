@@ -7,12 +7,13 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.functions.strings import is_image
+
 # fixed values: the columns of a detector's training log
 TRAINING_LOG = (
     "epoch int, time double, train_box_loss double, train_cls_loss double, train_dfl_loss double, precision_b double, recall_b double, map50_b double, "
     "map50_95_b double, val_box_loss double, val_cls_loss double, val_dfl_loss double, lr_pg0 double, lr_pg1 double, lr_pg2 double"
 )
-IMAGE_SUFFIXES = ("jpg", "jpeg", "png")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +36,7 @@ def registry(spark: SparkSession, url: str, dbtable: str, partition_column: str
 
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
     """(label, name, path, content) of the images in a folder's sub-folders; the sub-folder is the label."""
-    glob = "*.{" + ",".join(x for s in IMAGE_SUFFIXES for x in (s, s.upper())) + "}"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).filter(is_image(F.col("path")))
     parts = F.split("path", "/")
     return files.select(F.element_at(parts, -2).alias("label"), F.element_at(parts, -1).alias("name"), "path", "content")
 

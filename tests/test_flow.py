@@ -1,9 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from sightline.functions import strings
 from sightline.functions.hooks import rotated_reading, with_model
 from sightline.operators import frames, registry, vectors
-from sightline.plans import recognition
+from sightline.plans import catalogue, recognition
 from sightline.plans.cache import RegistryCache
 from sightline.sources import frames as capture
 from sightline.sources import sinks, tables
@@ -118,10 +119,10 @@ def test_window_stream_equals_batch_on_closed_windows(spark, sf_dir):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "drug").mkdir()
-    for name in ("b.PNG", "a.jpg", "c.txt"):
+    for name in ("b.PNG", "a.jpg", "c.txt", "d.Jpg"):
         (tmp_path / "drug" / name).write_bytes(b"x")
     rows = tables.image_files(spark, str(tmp_path)).orderBy("name").collect()
-    assert [(r["label"], r["name"]) for r in rows] == [("drug", "a.jpg"), ("drug", "b.PNG")]
+    assert [(r["label"], r["name"]) for r in rows] == [("drug", "a.jpg"), ("drug", "b.PNG"), ("drug", "d.Jpg")]
     (tmp_path / "keys.txt").write_text("甲\n乙\n")
     assert [tuple(r) for r in tables.char_dictionary(spark, str(tmp_path / "keys.txt")).orderBy("idx").collect()] == [(0, ""), (1, "甲"), (2, "乙"), (3, " ")]
     log = tmp_path / "log.csv"
@@ -161,3 +162,48 @@ def test_strings(spark):
     df = spark.createDataFrame([("a/b.PNG//", None, bytearray("é".encode()))], "p string, n string, r binary")
     row = df.select(strings.base_name(F.col("p")), strings.is_image(strings.bare_path(F.col("p"))), strings.one_name(F.col("n"), F.lit(" "), F.lit(" z ")), strings.decoded(F.col("r")), strings.ordered_distinct(F.array(F.lit(2), F.lit(1), F.lit(2)))).first()
     assert tuple(row) == ("b.PNG", True, "z", "é", [2, 1])
+
+
+def test_a_camera_behind_a_stream_source(spark):
+    def opener():  # a first connection that breaks, then another; cloudpickle carries its state
+        yield from ((i / 4, b"%d" % i) for i in range(30))
+
+    spark.dataSource.register(capture.frame_source("camera", opener, skip=10, sleep=lambda s: None))
+    rows = runs.drained(spark.readStream.format("camera").option("fps", 1).option("batch", 100).load())
+    assert [r["ts"] for r in rows.orderBy("frame_id").collect()] == [2.5 + k / 2 for k in range(10)]
+
+
+def test_a_capture_without_frames_raises():
+    def broken():
+        raise OSError
+
+    reader = capture._Reader(capture.Capture(broken, sleep=lambda s: None), 10, 3)
+    with pytest.raises(ConnectionError):
+        reader.read({"frame": 0})
+
+
+def test_a_reader_goes_on_and_replays():
+    opener = lambda: iter([(float(i), b"x") for i in range(25)])
+    reader = capture._Reader(capture.Capture(opener, skip=5, sleep=lambda s: None), 8, 1)
+    rows, offset = reader.read({"frame": 0})
+    more, end = reader.read(offset)
+    assert [r[0] for r in [*rows, *more]] == list(range(16)) and end == {"frame": 16}
+    assert [r[1] for r in reader.readBetweenOffsets({"frame": 8}, {"frame": 11})] == [13.0, 14.0, 15.0]
+
+
+def test_buffers_of_several_files(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    key = lambda r: r["user_id"]
+    one, many = (sorted(catalogue.QUERIES["q51_latest_stream"](spark, str(d)).collect(), key=key) for d in (sf_dir, tmp_path))
+    assert one == many
+
+
+def test_triggers_and_stop(spark, sf_dir, tmp_path):
+    seen = []
+    stream = runs.event_stream(spark, sf_dir)
+    runs.once(stream, lambda df, n: seen.append(df.count()), str(tmp_path / "once"))
+    assert sum(seen) == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    query = runs.periodic(stream, lambda df, n: seen.append(-1), 1, str(tmp_path / "periodic"))
+    query.processAllAvailable()
+    assert runs.stop(query) and not query.isActive and seen[-1] == -1
