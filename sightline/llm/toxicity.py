@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick in folded text.
 
-Folding lower-cases, strips accents, maps homoglyphs of other scripts and digit substitutions to Latin letters and turns
-punctuation into spaces. Lexicon patterns are starts of words or whole words with weights (log-odds of their document frequencies);
-exception phrases cancel the matches that they cover. The weighted matches of a document, as a sum, a share of its words and a
+Folding lower-cases, strips accents and combining marks, drops characters without width, maps homoglyphs of other scripts and digit substitutions to Latin letters and turns
+punctuation of any script into spaces. Lexicon patterns are starts of words or whole words with weights (log-odds of their document frequencies);
+exception phrases, of one word or two, cancel the matches that they cover. The weighted matches of a document, as a sum, a share of its words and a
 maximum, make its score through a logistic curve.
 
 The lexicon, the exceptions and the curve are fitted on a sample of labelled rows whose size is bounded by a parameter; scoring
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import text_or_empty
+from sightline.llm.common import staged, text_or_empty
 
 #: Expected number of labelled rows of each class that the model is fitted on, at most.
 SAMPLE_PER_CLASS = 1500
@@ -43,11 +43,13 @@ def _folding() -> dict[int, str]:
         base = "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)).lower()
         if base != chr(c):
             out[c] = base
-    out |= {ord(k): v for k, v in (LOOK_ALIKES | SUBSTITUTES).items()}
-    for c in range(0x180):
-        if c not in out and not chr(c).isalnum():
+    for c in range(0x10000):
+        kind = unicodedata.category(chr(c))
+        if kind == "Cf" or 0x300 <= c < 0x370:  # without width, and combining marks of Latin letters
+            out[c] = ""
+        elif c not in out and kind[0] in "CPSZ" and kind not in ("Cs", "Co", "Cn"):
             out[c] = " "
-    return out
+    return out | {ord(k): v for k, v in (LOOK_ALIKES | SUBSTITUTES).items()}
 
 
 FOLDING = _folding()
@@ -104,8 +106,13 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def lexicon(words: list[set[str]], labels: list[int]) -> tuple[dict[str, float], list[str]]:
-    """Patterns with weights, and exception phrases, from the distinct folded words of each document."""
+def pairs(words: list[str]) -> set[str]:
+    """Neighbouring words of a text, each pair as one string."""
+    return {f"{a} {b}" for a, b in zip(words, words[1:])}
+
+
+def lexicon(words: list[set[str]], labels: list[int], couples: list[set[str]] | None = None) -> tuple[dict[str, float], list[str]]:
+    """Patterns with weights, and exception phrases, from the distinct folded words of each document and its neighbouring words."""
     toxic, clean = Counter(), Counter()
     for ws, label in zip(words, labels):
         (toxic if label else clean).update({f" {w[:k]}" for w in ws for k in STARTS if len(w) >= k} | {f" {w} " for w in ws})
@@ -122,7 +129,10 @@ def lexicon(words: list[set[str]], labels: list[int]) -> tuple[dict[str, float],
     found = {p: o for p in toxic if toxic[p] >= least and (o := odds(p))[0] >= 1 and o[1] >= LEAST_RATIO}
     best = sorted(found, key=lambda p: (-found[p][1], p))[:MAX_PATTERNS]
     patterns = {p: round(found[p][0], 6) for p in best}
-    exceptions = [p for p in clean if p[-1] == " " and clean[p] >= max(4, n0 // 300) and any(p[:k] in patterns for k in range(2, len(p) + 1)) and odds(p)[0] <= -0.5]
+    shown = lambda w: any(f" {w} "[:k] in patterns for k in range(2, len(w) + 3))
+    for ws, label in zip(couples or [], labels):
+        (toxic if label else clean).update(f" {c} " for c in ws if any(map(shown, c.split(" "))))
+    exceptions = [p for p in clean if p[-1] == " " and clean[p] >= max(4, n0 // 300) and any(map(shown, p.split())) and odds(p)[0] <= -0.5]
     return patterns, sorted(exceptions)
 
 
@@ -156,15 +166,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_per_class: int = SAMPLE_PER_C
     share = {k: min(1.0, sample_per_class / n) for k, n in sizes.items()}
     place = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     picked = known.filter(place < F.when(F.col("label") == 1, share[1]).otherwise(share[0]))
-    sample = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(F.broadcast(picked), "id")
+    sample = staged(docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(F.broadcast(picked), "id"), "toxicity-sample")
 
     def distinct_words(it):
         for b in it:
-            words = [sorted(set(fold(t).split())) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(words, pa.list_(pa.string()))], names=["label", "words"])
+            words = [fold(t).split() for t in b.column(1).to_pylist()]
+            columns = [pa.array([sorted(x) for x in found], pa.list_(pa.string())) for found in (map(set, words), map(pairs, words))]
+            yield pa.RecordBatch.from_arrays([b.column(2), *columns], names=["label", "words", "pairs"])
 
-    rows = sample.mapInArrow(distinct_words, "label int, words array<string>").toArrow().to_pydict()
-    model = Model(*lexicon([set(w) for w in rows["words"]], rows["label"]))
+    rows = sample.mapInArrow(distinct_words, "label int, words array<string>, pairs array<string>").toArrow().to_pydict()
+    model = Model(*lexicon([set(w) for w in rows["words"]], rows["label"], [set(c) for c in rows["pairs"]]))
 
     def features(it):
         for b in it:

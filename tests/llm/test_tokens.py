@@ -222,6 +222,39 @@ def test_folding_and_exceptions():
     assert model.score("idiot") > model.score("idiot " + "fine " * 500) > model.score("") and model.score("x " * 50_000) == model.score("")
 
 
+def test_folding_of_quotes_marks_and_widthless_characters():
+    assert toxicity.fold("“idi\u200bot” — e\u0301t\u00ade…").split() == ["idiot", "ete"] and toxicity.fold("हिन्दी 中文").split() == ["हिन्दी", "中文"]
+
+
+def test_exception_phrases_of_two_words():
+    toxic, clean = [{"you", "idiot", "go"}] * 40, [{"village", "idiot", "play"}] * 20 + [{"nice", "play"}] * 60
+    couples = [{"you idiot", "idiot go"}] * 40 + [{"village idiot", "idiot play"}] * 20 + [{"nice play"}] * 60
+    patterns, exceptions = toxicity.lexicon(toxic + clean, [1] * 40 + [0] * 80, couples)
+    assert " idiot " in patterns and " village idiot " in exceptions and " idiot " not in exceptions
+    model = toxicity.Model(patterns, exceptions, (0.0, 2.0, 0.0, -4.0))
+    assert " idio" in " ".join(patterns) and model.evidence("the village idiot") == (0.0, 0.0, 0.0) and model.evidence("what an idiot")[0] > 0
+
+
+def slow_evidence(model, text):
+    """Every pattern looked for at every place."""
+    folded = toxicity.fold(text)
+    spared = {i + k for p in model.exceptions for i in range(len(folded)) if folded.startswith(p, i) for k in range(len(p) - 1)}
+    best = [max((len(p), w) for p, w in model.patterns.items() if folded.startswith(p, i))[1] for i in range(len(folded)) if i not in spared and any(folded.startswith(p, i) for p in model.patterns)]
+    return sum(best), max(best, default=0.0)
+
+
+def test_matching_against_brute_force(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    rng = random.Random(3)
+    words = [p.strip() for p in model.patterns] + [p.strip() for p in model.exceptions] + ["plain", "words", "“quoted”"]
+    texts = [r["text"] or "" for r in documents.select("text").limit(20).collect()] + [" ".join(rng.choices(words, k=12)) for _ in range(50)]
+    for t in texts:
+        total, most = slow_evidence(model, t)
+        got = model.evidence(t)
+        assert abs(got[0] - np.log1p(total)) < 1e-9 and got[2] == most
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (None, 0, 1), (3, None, None)], "doc_id long, quality int, toxic int")
     for known in (labels, labels.limit(0), labels.filter("toxic = 1")):
