@@ -36,10 +36,10 @@ NODE_SCHEMA = "grp int, node int, ids binary, vectors binary, to_parent binary,
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component. Vectors that are null, empty or hold null or non-finite components are left out, and so are null ids."""
+    """(vec_id, v): floor(scale * x) of each component. Vectors that are null or hold null or non-finite components are left out, and so are null ids; an empty one counts as zeros."""
     x = F.transform("embedding", lambda c: c.cast("double"))
     fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.filter("vec_id is not null and embedding is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
+    rows = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"))
     return rows.filter(fine).select("vec_id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
 
 
@@ -187,6 +187,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     n, dim, longest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dim = max(1, dim)
     routing_rows = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(max(1, min(MAX_ROUTING, n // ROWS_PER_ROUTING))).collect()
     routing = spark.sparkContext.broadcast(_raised(_matrix([r["v"] for r in routing_rows], dim), longest))
 

@@ -195,13 +195,15 @@ def test_search_edges(spark):
     best = {}
     for r in got:
         best.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    usable = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     queried = dict((i, v) for i, v in usable if i % 20 == 0)
     assert set(best) == set(queried)
-    for i in [0, 20, 40, 5100, 5120]:
+    for i in [0, 20, 40, 5080, 5100, 5120]:
         scores = sorted((-min(2**62, sum(a * b for a, b in zip(queried[i], v))), j) for j, v in usable if j != i)[:3]
         assert sorted(best[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(scores)]
     assert mtree.top_k(df.limit(0), F.lit(True)).count() == 0
+    empty = df.filter("vec_id = 5080").select(F.explode(F.array(F.lit(1), F.lit(2))).alias("vec_id"), "embedding")
+    assert sorted(tuple(r) for r in mtree.top_k(empty, F.lit(True)).collect()) == [(1, 1, 2, 0), (2, 1, 1, 0)]
     assert mtree.top_k(df.limit(50), F.lit(False)).count() == 0
     assert mtree.top_k(df.filter("vec_id in (40, 60)"), F.lit(True), k=3).count() == 2
 
