@@ -1,14 +1,18 @@
 """Exact top-k search by inner product in a paged M-tree, best first.
 
 Integer vectors get one more component that brings all candidates to the same length (queries get 0 there), so Euclidean distance orders
-them as the inner product does. The tree has three levels: routing vectors, a bounded sample of the data; nodes, the vectors nearest to
-one routing vector, at most NODE_ROWS of them; and pages of at most PAGE_ROWS. Nodes and pages keep a covering radius, and
-entries their distance to the page's routing vector (their parent). A query block visits the pages of a node from the most
-promising on, leaves out nodes and pages whose ball cannot hold a score that counts, and entries that the triangle inequality with
-the stored parent distance excludes; scores are exact integers. A first round in each query's home node gives the score to beat.
-
-Every row is indexed; a hot vector's rows are dealt over several nodes. Queries meet nodes in cells of a query block and
-a group of nodes, each a bounded task; no cell sees all queries or all rows.
+them as the inner product does. The tree has three levels: routing vectors, a bounded sample of the data, in an order that keeps near
+ones together; nodes, the vectors nearest to one routing vector, about NODE_ROWS of them; and pages of at most PAGE_ROWS. All levels
+keep a covering radius, and entries their distance to the page's routing vector (their parent). A query block visits nodes and, in a
+node, pages from the most promising on, leaves out nodes and pages whose ball cannot hold a score that counts, and entries that the
+triangle inequality with the stored parent distance excludes; scores are exact integers. A first round in each query's home node
+gives the score to beat.
+
+Every row is indexed; a hot vector's rows are dealt over several nodes, rows that repeat an id too. Queries meet nodes in cells of a query
+block and a group of nodes, each a bounded task; no cell sees all queries or all rows. Before anything is sent, the balls of the
+routing vectors (at most MAX_ROUTING, held by every task) tell which groups a query needs; a group is copied once for each block of the queries that
+need it. Where balls exclude nothing, as with vectors of many independent components, the shuffle is that of a blocked product:
+rows times queries over the size of a cell, so cells are as large as BLOCK_BYTES and GROUP_BYTES allow and vectors travel as the narrowest integers that hold them.
 """
 
 from __future__ import annotations
@@ -21,18 +25,24 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import staged
 
-NODE_ROWS = 2048
+NODE_ROWS = 1024
 PAGE_ROWS = 128
 #: Most routing vectors of the upper level, and the rows that each is meant for while there are fewer.
 MAX_ROUTING = 4096
 ROWS_PER_ROUTING = 1024
-#: Queries in a block and nodes in a group.
-BLOCK_QUERIES = 512
-GROUP_NODES = 8
+#: Vectors of a block of queries and of a group of nodes, in bytes, at most; and the cells that smaller blocks and groups are made for while there are fewer.
+BLOCK_BYTES = 1 << 20
+GROUP_BYTES = 1 << 23
+CELLS = 64
+#: Queries of a block, at most and in the first round.
+BLOCK_QUERIES = 4096
+HOME_QUERIES = 512
+#: Pairs of a query and a group that are looked at, or handed on, at once.
+PAIRS = 1 << 14
 #: Relative allowance for rounding in bounds.
 SLACK = 1e-9
 
-NODE_SCHEMA = "grp int, node int, ids binary, vectors binary, to_parent binary, pages binary, routing binary, radii binary, centre binary, radius double"
+NODE_SCHEMA = "node int, ids binary, vectors binary, to_parent binary, pages binary, routing binary, radii binary, centre binary, radius double"
 
 
 def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -71,12 +81,12 @@ def _raised(m: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([m, np.sqrt(np.maximum(0, longest - (m * m).sum(1)))])
 
 
-def _pages(points: np.ndarray) -> list[np.ndarray]:
-    """Row numbers of pages: balls split between two far rows until they are small; rows that coincide are cut in order."""
+def _pages(points: np.ndarray, most: int = PAGE_ROWS) -> list[np.ndarray]:
+    """Row numbers of pages, near ones after each other: balls split between two far rows until they are small; rows that coincide are cut in order."""
     done, open_ = [], [np.arange(len(points))]
     while open_:
         rows = open_.pop()
-        if len(rows) <= PAGE_ROWS:
+        if len(rows) <= most:
             done.append(rows)
             continue
         own = points[rows]
@@ -84,15 +94,23 @@ def _pages(points: np.ndarray) -> list[np.ndarray]:
         to_one = ((own - one) ** 2).sum(1)
         left = to_one <= ((own - own[to_one.argmax()]) ** 2).sum(1)
         if left.all() or not left.any():
-            done += [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
+            done += [rows[i : i + most] for i in range(0, len(rows), most)]
         else:
             open_ += [rows[left], rows[~left]]
     return done
 
 
-def _node(key: tuple, pdf: pd.DataFrame, dim: int, longest: float) -> pd.DataFrame:
+def _packed(m: np.ndarray, kind: str) -> list[bytes]:
+    return [x.tobytes() for x in m.astype(kind)]
+
+
+def _unpacked(rows, kind: str, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), kind).reshape(-1, dim).astype(np.float64)
+
+
+def _node(key: tuple, pdf: pd.DataFrame, kind: str, dim: int, longest: float) -> pd.DataFrame:
     pdf = pdf.sort_values("vec_id", kind="stable")
-    m = _matrix(pdf["v"].tolist(), dim)
+    m = _unpacked(pdf["v"], kind, dim)
     points, ids = _raised(m, longest), pdf["vec_id"].to_numpy(np.int64)
     pages = _pages(points)
     order = np.concatenate(pages)
@@ -103,17 +121,23 @@ def _node(key: tuple, pdf: pd.DataFrame, dim: int, longest: float) -> pd.DataFra
     radii = np.maximum.reduceat(to_parent, ends - sizes)
     centre = points.mean(0)
     return pd.DataFrame({
-        "grp": [key[0] // GROUP_NODES], "node": [key[0]], "ids": [ids[order].tobytes()], "vectors": [m[order].tobytes()], "to_parent": [to_parent.tobytes()],
+        "node": [key[0]], "ids": [ids[order].tobytes()], "vectors": [m[order].astype(kind).tobytes()], "to_parent": [to_parent.tobytes()],
         "pages": [ends.tobytes()], "routing": [routing.tobytes()], "radii": [radii.tobytes()], "centre": [centre.tobytes()],
         "radius": [float(_distances(points, centre[None]).max())],
     })
 
 
+def highest(distance: np.ndarray, radius, span) -> np.ndarray:
+    """The highest score that a ball can hold, for queries at a distance from its centre; ``span`` is the sum of both squared lengths."""
+    near = np.maximum(0, distance - radius)
+    return (span - near * near) / 2 + SLACK * (span + 1)
+
+
 class Searcher:
     """The best candidates of a block of queries, kept over the nodes that it visits."""
 
-    def __init__(self, ids: np.ndarray, m: np.ndarray, beat: np.ndarray, k: int, longest: float):
-        self.ids, self.m, self.k, self.longest = ids, m, k, longest
+    def __init__(self, ids: np.ndarray, m: np.ndarray, kind: str, beat: np.ndarray, k: int, longest: float):
+        self.ids, self.m, self.kind, self.k, self.longest = ids, m, kind, k, longest
         self.points = np.column_stack([m, np.zeros(len(m))])
         self.squares = (m * m).sum(1)
         self.least = beat.astype(np.int64)  # a lower score cannot be among the best
@@ -122,18 +146,20 @@ class Searcher:
         self.computed = 0
 
     def _reach(self, distance: np.ndarray, radius, q) -> np.ndarray:
-        """The highest score that a ball can hold."""
-        near = np.maximum(0, distance - radius)
-        span = self.longest + self.squares[q]
-        return (span - near * near) / 2 + SLACK * (span + 1)
+        return highest(distance, radius, self.longest + self.squares[q])
 
-    def visit(self, row) -> None:
-        dim = self.m.shape[1]
-        centre = np.frombuffer(row.centre)[None]
-        q = np.nonzero(self._reach(_distances(self.points, centre)[:, 0], row.radius, slice(None)) >= self.least)[0]
+    def search(self, nodes: pd.DataFrame) -> None:
+        """Visit nodes from the one on whose ball holds the highest score that any query may find."""
+        if len(nodes):
+            reach = self._reach(_distances(self.points, np.stack([np.frombuffer(c) for c in nodes["centre"]])), nodes["radius"].to_numpy()[None], np.arange(len(self.ids))[:, None])
+            for i in np.argsort(-reach.max(0), kind="stable"):
+                self.visit(nodes.iloc[i], np.nonzero(reach[:, i] >= self.least)[0])
+
+    def visit(self, row, q: np.ndarray) -> None:
         if not len(q):
             return
-        ids, m, to_parent = np.frombuffer(row.ids, np.int64), np.frombuffer(row.vectors).reshape(-1, dim), np.frombuffer(row.to_parent)
+        dim = self.m.shape[1]
+        ids, m, to_parent = np.frombuffer(row.ids, np.int64), _unpacked([row.vectors], self.kind, dim), np.frombuffer(row.to_parent)
         ends, radii = np.frombuffer(row.pages, np.int64), np.frombuffer(row.radii)
         starts = np.concatenate([[0], ends[:-1]])
         distance = _distances(self.points[q], np.frombuffer(row.routing).reshape(-1, dim + 1))
@@ -184,64 +210,91 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     """
     spark = vectors.sparkSession
     rows = staged(quantised(vectors, scale).withColumn("is_query", F.coalesce(is_query, F.lit(False))), "vectors")
-    n, dim, longest = rows.agg(F.count("*"), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))).first()
+    square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
+    n, dim, longest, most = rows.agg(F.count("*"), F.max(F.size("v")), F.max(square), F.max(F.array_max(F.transform("v", lambda c: F.abs(c.cast("double")))))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = max(1, dim)
+    kind = next((t for t in ("int8", "int16", "int32") if (most or 0) <= np.iinfo(t).max), "float64")
     routing_rows = rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(max(1, min(MAX_ROUTING, n // ROWS_PER_ROUTING))).collect()
-    routing = spark.sparkContext.broadcast(_raised(_matrix([r["v"] for r in routing_rows], dim), longest))
+    points = _raised(_matrix([r["v"] for r in routing_rows], dim), longest)
+    routing = spark.sparkContext.broadcast(points[np.concatenate(_pages(points, 1))])
 
     def routed(it):
         for b in it:
             m, is_q = _matrix(b.column(1).to_pylist(), dim), b.column(2).to_numpy(zero_copy_only=False)
-            home = _distances(_raised(m, longest), routing.value).argmin(1)
-            asked = _distances(np.column_stack([m, np.zeros(len(m))]), routing.value).argmin(1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home.astype(np.int32)), pa.array(np.where(is_q, asked, -1).astype(np.int32))], names=["vec_id", "v", "is_query", "home", "asked"])
-
-    rows = staged(rows.mapInArrow(routed, "vec_id long, v array<long>, is_query boolean, home int, asked int"), "routed")
-    sizes = {r["home"]: r["n"] for r in rows.groupBy("home").agg(F.count("*").alias("n")).collect()}  # at most MAX_ROUTING rows
-    parts, first = {}, {}
-    for home in sorted(sizes):
-        first[home], parts[home] = sum(parts.values()), -(-sizes[home] // (NODE_ROWS // 2))
-    total = sum(parts.values())
-    place = F.create_map(*[F.lit(x) for h in sizes for x in (h, first[h])])
-    width = F.create_map(*[F.lit(x) for h in sizes for x in (h, parts[h])])
-    numbered = rows.withColumn("node", (place[F.col("home")] + F.pmod(F.xxhash64("vec_id", F.lit("node")), width[F.col("home")].cast("long"))).cast("int"))
-    nodes = staged(numbered.select("node", "vec_id", "v").groupBy("node").applyInPandas(lambda key, pdf: _node(key, pdf, dim, longest), NODE_SCHEMA), "nodes")
-
-    queries = rows.filter("is_query").dropDuplicates(["vec_id"]).select("vec_id", "v", "asked")
-    # home nodes for which there are rows; a query whose nearest routing vector has none starts without a score to beat
-    home_node = F.create_map(*[F.lit(x) for h in sizes for x in (h, first[h])])
-    queries = queries.withColumn("node", F.coalesce(home_node[F.col("asked")], F.lit(-1)))
-    salted = queries.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit("part")), F.lit(8)).cast("int"))
-    starts = nodes.filter(F.col("node").isin(list(first.values()))).select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("part"))
+            away = _distances(_raised(m, longest), routing.value)
+            home, asked = away.argmin(1), _distances(np.column_stack([m, np.zeros(len(m))]), routing.value).argmin(1)
+            columns = [b.column(0), pa.array(_packed(m, kind), pa.binary()), pa.array(home.astype(np.int32)), pa.array(away.min(1)), pa.array(np.where(is_q, asked, -1).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "v", "home", "away", "asked"])
+
+    rows = rows.mapInArrow(routed, "vec_id long, v binary, home int, away double, asked int")
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "routed")  # row is fixed once written
+    homes = rows.groupBy("home").agg(F.count("*").alias("n"), F.max("away").alias("radius")).toPandas().sort_values("home")  # at most MAX_ROUTING rows
+    homes["parts"] = -(-homes["n"] // NODE_ROWS)
+    homes["first"] = homes["parts"].cumsum() - homes["parts"]
+    at = spark.createDataFrame(homes[["home", "first", "parts"]], "home int, first long, parts long")
+    width = F.pmod(F.xxhash64("row", F.lit("node")), F.col("parts"))
+    numbered = rows.join(F.broadcast(at), "home").select((F.col("first") + width).cast("int").alias("node"), "vec_id", "v")
+    nodes = staged(numbered.groupBy("node").applyInPandas(lambda key, pdf: _node(key, pdf, kind, dim, longest), NODE_SCHEMA), "nodes")
+
+    # first round: a query in one node of its nearest routing vector that has rows at all
+    queries = rows.filter("asked >= 0").dropDuplicates(["vec_id"]).select("vec_id", "v", F.col("asked").alias("home"))
+    asked_of = queries.groupBy("home").agg(F.ceil(F.count("*") / HOME_QUERIES).cast("int").alias("blocks"))
+    starts = asked_of.join(F.broadcast(at), "home", "left").select("home", F.col("first").cast("int").alias("node"), "blocks")  # at most MAX_ROUTING rows
+    salted = queries.join(F.broadcast(starts), "home").select("vec_id", "v", F.coalesce("node", F.lit(-1)).alias("node"), F.pmod(F.xxhash64("vec_id", F.lit("part")), F.col("blocks")).cast("int").alias("part"))
+    first = nodes.join(F.broadcast(starts), "node").select(nodes["*"], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
 
     def first_round(key, asked: pd.DataFrame, node: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame(columns=["vec_id", "v", "beat"], dtype=object)
-        beat = []
+        beat = [np.zeros(0, np.int64)]
         for i in range(0, len(asked), BLOCK_QUERIES):
             some = asked.iloc[i : i + BLOCK_QUERIES]
-            search = Searcher(some["vec_id"].to_numpy(np.int64), _matrix(some["v"].tolist(), dim), np.full(len(some), LOWEST), k, longest)
-            for row in node.itertuples():
-                search.visit(row)
-            beat.append(np.maximum(search.scores[:, -1], LOWEST))
+            searcher = Searcher(some["vec_id"].to_numpy(np.int64), _unpacked(some["v"], kind, dim), kind, np.full(len(some), LOWEST), k, longest)
+            searcher.search(node)
+            beat.append(np.maximum(searcher.scores[:, -1], LOWEST))
         return pd.DataFrame({"vec_id": asked["vec_id"], "v": asked["v"], "beat": np.concatenate(beat)})
 
-    met = salted.groupBy("node", "part").cogroup(starts.groupBy("node", "part"))
-    asked = staged(met.applyInPandas(first_round, "vec_id long, v array<long>, beat long"), "queries")
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
-    groups = -(-total // GROUP_NODES)
-    left = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    right = nodes.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    met = salted.groupBy("node", "part").cogroup(first.groupBy("node", "part"))
+    asked = staged(met.applyInPandas(first_round, "vec_id long, v binary, beat long"), "queries")
+
+    # second round: the groups that each query needs, told by the routing vectors' balls, then cells
+    size = np.dtype(kind).itemsize * dim
+    block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // size))
+    total, blocks = int(homes["parts"].sum()), -(-max(1, asked.count()) // block)
+    per_group = max(1, min(GROUP_BYTES // (size * NODE_ROWS), total * blocks // CELLS))
+    balls = homes["home"].to_numpy(), homes["radius"].to_numpy()
+    begin = (homes["first"] // per_group).to_numpy(np.int64)
+    end = ((homes["first"] + homes["parts"] - 1) // per_group).to_numpy(np.int64) + 1
+    groups = int(end.max())
+
+    def needed(it):
+        centres = routing.value[balls[0]]
+        step = max(1, PAIRS // groups)
+        for b in it:
+            for i in range(0, b.num_rows, step):
+                some = b.slice(i, step)
+                m, beat = _unpacked(some.column(1).to_pylist(), kind, dim), some.column(2).to_numpy()
+                span = longest + (m * m).sum(1)[:, None]
+                need = highest(_distances(np.column_stack([m, np.zeros(len(m))]), centres), balls[1], span) >= beat[:, None]
+                edges = np.zeros((len(m), groups + 1), np.int32)  # +1 where a needed home's groups begin, -1 behind them
+                q, h = np.nonzero(need)
+                np.add.at(edges, (q, begin[h]), 1)
+                np.add.at(edges, (q, end[h]), -1)
+                q, g = np.nonzero(np.cumsum(edges, 1)[:, :groups])
+                for j in range(0, len(q), PAIRS):
+                    sent = some.take(pa.array(q[j : j + PAIRS]))
+                    yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(g[j : j + PAIRS].astype(np.int32))], names=["vec_id", "v", "beat", "grp"])
+
+    pairs = staged(asked.mapInArrow(needed, "vec_id long, v binary, beat long, grp int"), "pairs")
+    wanted = pairs.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    left = pairs.join(wanted, "grp").select("vec_id", "v", "beat", "grp", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.col("blocks")).cast("int").alias("block"))
+    right = nodes.withColumn("grp", F.floor(F.col("node") / per_group).cast("int")).join(wanted, "grp").select("grp", *nodes.columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def cell(key, asked: pd.DataFrame, node: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked):
-            return pd.DataFrame(columns=["query_id", "vec_id", "score"], dtype=object)
-        search = Searcher(asked["vec_id"].to_numpy(np.int64), _matrix(asked["v"].tolist(), dim), asked["beat"].to_numpy(np.int64), k, longest)
-        for row in node.itertuples():
-            search.visit(row)
-        return search.rows()
+        searcher = Searcher(asked["vec_id"].to_numpy(np.int64), _unpacked(asked["v"], kind, dim), kind, asked["beat"].to_numpy(np.int64), k, longest)
+        if len(asked):
+            searcher.search(node)
+        return searcher.rows()
 
     found = left.groupBy("block", "grp").cogroup(right.groupBy("block", "grp")).applyInPandas(cell, FOUND_SCHEMA)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

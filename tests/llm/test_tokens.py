@@ -187,6 +187,22 @@ def test_configurations_cover_no_more_than_demand():
     assert sum(t for _, t in found) >= (used * sizes).sum() / 100
 
 
+@pytest.mark.parametrize("scale", [1, 30, 10_000, 1e8])
+def test_search_of_clusters_by_brute_force(spark, monkeypatch, scale):
+    for name, value in {"ROWS_PER_ROUTING": 16, "NODE_ROWS": 8, "GROUP_BYTES": 512, "BLOCK_BYTES": 256, "HOME_QUERIES": 4}.items():
+        monkeypatch.setattr(mtree, name, value)
+    rng = np.random.default_rng(int(scale))
+    v = np.floor((rng.normal(0, 1, (8, 5))[rng.integers(0, 8, 400)] * 20 + rng.normal(0, 1, (400, 5))) * scale).astype(int)
+    ids = list(range(398)) + [3, 3]  # an id that repeats is a candidate for each of its rows
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in zip(ids, v.tolist())], "vec_id long, embedding array<double>")
+    got = mtree.top_k(df, F.col("vec_id") % 7 == 0, k=6, scale=1).collect()
+    expected = []
+    for q in range(0, 398, 7):
+        best = sorted((-sum(map(int.__mul__, v[q].tolist(), x)), i) for i, x in zip(ids, v.tolist()) if i != q)[:6]
+        expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == expected
+
+
 def test_search_edges(spark):
     hot = [(i, [0.5, 0.25]) for i in range(3000)]
     rows = [*hot, (5000, None), (5020, [1.0, None]), (5040, [float("nan"), 1.0]), (5060, [float("inf"), 1.0]), (5080, []), (5100, [-1.0]), (None, [1.0, 1.0]), (5120, [1e12, 3.0]), (20, [0.5, 0.25])]
