@@ -298,15 +298,52 @@ def test_language_edges(spark):
     assert [rows[i]["lang_pred"] for i in (5, 6, 7)] == ["und"] * 3 and rows[0]["lang_pred"] in model.languages
     empty = langid.fit(df.limit(0))
     assert {r["lang_pred"] for r in langid.predicted(df, empty).collect()} == {"und"}
+    clash = df.selectExpr("doc_id", "repeat(text, 40000) as text", "lang", "lang as held_out", "1 as score", "text as lang_pred", "text as id")
+    again = langid.predicted(clash.union(clash), langid.fit(clash)).collect()  # very long texts, repeated rows, clashing names
+    assert len(again) == 12 and {r["lang_pred"] for r in again if r["doc_id"] in (0, 2)} <= {"en", "de"}
     assert langid.predicted(df.limit(0), model).count() == 0
 
 
 def test_ngrams_do_not_depend_on_slices(monkeypatch):
     text = "Élan vital, über 12 grün\n" * 50
-    whole = np.sort(np.concatenate(list(langid.grams(text))))
+    places = lambda texts: sorted((int(r), int(g)) for rows, buckets in langid.grams(texts) for r, g in zip(rows, buckets))
+    whole = places([text, "", "a", text[:30]])
     monkeypatch.setattr(langid, "SLICE", 37)
-    assert (np.sort(np.concatenate(list(langid.grams(text)))) == whole).all()
-    assert sum(map(len, langid.grams(""))) == 0
+    assert places([text, "", "a", text[:30]]) == whole == sorted((i, g) for i, t in enumerate([text, "", "a", text[:30]]) for _, g in places([t]))
+    assert places([""]) == [] == places([])
+
+
+def slow_grams(text):
+    """Buckets of the n-grams of one text, hashed one by one."""
+    points, out, word = [32, *(ord(c) if c.isalpha() else 32 for c in text.lower()), 32], [], 2**32 - 1
+    for i in range(len(points)):
+        key = points[i] * 0x9E3779B1 & word
+        for n in range(2, 5):
+            if i + n <= len(points):
+                key = ((key ^ key >> 15) * 0x85EBCA6B + points[i + n - 1] * 0xC2B2AE35) & word
+                if any(p != 32 for p in points[i : i + n]):
+                    out.append(((key ^ key >> 13) * 0x27D4EB2F & word) >> 16)
+    return out
+
+
+def test_language_by_brute_force(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts, sizes = {}, {}
+    for r in rows:
+        if not held(r["doc_id"]) and r["lang"] is not None:
+            sizes[r["lang"]] = sizes.get(r["lang"], 0) + 1
+            own = counts.setdefault(r["lang"], np.zeros(langid.BUCKETS))
+            for g in slow_grams(r["text"] or ""):
+                own[g] += 1
+    names = sorted(sizes)
+    logs = [np.log((counts[k] + 0.5) / (counts[k].sum() + 0.5 * langid.BUCKETS)) for k in names]
+    got = {r["doc_id"]: r for r in langid.predicted(docs, langid.fit(docs, sample_per_language=10**9)).collect()}
+    assert len(got) == len(rows)
+    for r in rows[::3]:
+        z = np.array([np.log(sizes[k] / sum(sizes.values())) + m[slow_grams(r["text"])].sum() for k, m in zip(names, logs)])
+        assert got[r["doc_id"]]["lang_pred"] == names[int(z.argmax())] and abs(got[r["doc_id"]]["score"] - 1 / np.exp(z - z.max()).sum()) < 1e-3
 
 
 def test_roles_of_conversations(spark, sf_dir):
