@@ -91,12 +91,15 @@ def top_k(texts: DataFrame, names: DataFrame, text: str, name: str, k: int = 10,
     return best.select("text", "rank", "name", "score")
 
 
-def or_all(texts: DataFrame, matches: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
-    """(text, name, fallback): a text's matches, or every name if it has none."""
+def or_all(texts: DataFrame, matches: DataFrame, names: DataFrame, text: str, name: str, slice_size: int = BROADCAST_NAMES) -> DataFrame:
+    """(text, name, fallback): a text's matches, or every name if it has none. Names are broadcast in slices, as in ``top_k``."""
     left = texts.select(F.col(text).alias("text")).distinct()
     hit = matches.select("text", "name")
     none = left.join(hit.select("text").distinct(), "text", "left_anti")
     every = names.select(F.col(name).alias("name")).filter("name is not null and name <> ''").distinct()
-    if every.count() <= BROADCAST_NAMES:
-        every = F.broadcast(every)
-    return hit.withColumn("fallback", F.lit(False)).unionByName(none.join(every).select("text", "name", F.lit(True).alias("fallback")))
+    out = hit.withColumn("fallback", F.lit(False))
+    slices = max(1, -(-every.count() // slice_size))
+    for i in range(slices):
+        part = every if slices == 1 else every.filter(F.pmod(F.xxhash64("name"), F.lit(slices)) == i)
+        out = out.unionByName(none.join(F.broadcast(part)).select("text", "name", F.lit(True).alias("fallback")))
+    return out

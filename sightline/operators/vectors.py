@@ -64,6 +64,16 @@ def vote_confidence(vote_share: Column, good: Column, full: float = 15.0) -> Col
     return 0.7 * vote_share + 0.3 * F.least(F.lit(1.0), good / full)
 
 
+def template_scores(candidates: DataFrame, templates: DataFrame, item: str, vector: str, template: str) -> DataFrame:
+    """A row for each candidate of a query and each template of that item, with ``score``, the inner product of both vectors.
+
+    Templates of items that are nobody's candidate go before they meet vectors; candidates without templates have no row.
+    """
+    wanted = templates.join(candidates.select(item).distinct(), item, "left_semi")
+    product = F.aggregate(F.zip_with(vector, template, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return candidates.join(wanted, item).withColumn("score", product)
+
+
 def best_items(scores: DataFrame, query: str, item: str, template_score: str, order: str, n: int = 3) -> DataFrame:
     """Best template score per (query, item), its confidence, and the ``n`` best items of each query, ties in candidate order."""
     best = scores.groupBy(query, item).agg(F.max(template_score).alias("best"), F.min(order).alias("__o"))

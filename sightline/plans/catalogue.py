@@ -157,6 +157,12 @@ def q10_upsert(spark, d):
     return sinks.upsert(part, one.unionByName(two).unionByName(three), "p_partkey", "v")
 
 
+@query("SELECT p_partkey, p_name, p_size FROM part UNION ALL SELECT p_partkey + 1000000, p_name || '*', NULL FROM part WHERE p_size < 5")
+def q10b_insert(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    return sinks.insert(part, part.filter("p_size < 5").select((F.col("p_partkey") + 1000000).alias("p_partkey"), F.concat("p_name", F.lit("*")).alias("p_name")))
+
+
 # --- templates and vectors ----------------------------------------------------------------------------------------
 
 TEMPLATES_SQL = "t AS (SELECT vec_id, label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) AS INTEGER) AS template_no, embedding FROM embeddings QUALIFY template_no <= 6)"
@@ -213,6 +219,24 @@ def q21_best_items(spark, d):
     return vectors.best_items(scores, "query", "item", "score", "item")
 
 
+@query(f"""
+    WITH {TEMPLATES_SQL}, v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings),
+    c AS (SELECT vec_id AS query, v, k AS position, CAST((label + 3 * k) % 10 AS INTEGER) AS item FROM v, unnest([0, 1, 2]) AS u(k) WHERE vec_id % 20 = 0),
+    s AS (SELECT query, item, position, list_inner_product(c.v, v.v) / 200 AS score FROM c JOIN t ON item = t.label JOIN v ON t.vec_id = v.vec_id),
+    b AS (SELECT query, item, min(position) AS position, max(score) AS best FROM s GROUP BY query, item), f AS (SELECT *, least(1.0, best / 15.0) * 0.6 AS confidence FROM b)
+    SELECT query, item, round(best, 9) AS best, round(confidence, 9) AS confidence, CAST(row_number() OVER (PARTITION BY query ORDER BY confidence DESC, position) AS INTEGER) AS rank FROM f
+""")
+def q21c_candidate_templates(spark, d):
+    """Three candidate items of each queried vector, scored on up to six templates each."""
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double"))
+    templates = _templates(spark, d).select(F.col("label").alias("item"), whole.alias("template"))
+    asked = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "label", whole.alias("v"), F.explode(F.array(*map(F.lit, range(3)))).alias("position"))
+    candidates = asked.select("query", "v", "position", ((F.col("label") + 3 * F.col("position")) % 10).cast("int").alias("item"))
+    scores = vectors.template_scores(candidates, templates, "item", "v", "template").withColumn("score", F.col("score") / 200)
+    best = vectors.best_items(scores, "query", "item", "score", "position")
+    return best.select("query", "item", F.round("best", 9).alias("best"), F.round("confidence", 9).alias("confidence"), "rank")
+
+
 @query(f"WITH {PAIRS_SQL} SELECT item, count(*) AS votes, round(count(*) + 0.1 * sum(1 / (d1 + 1e-6)), 6) AS weighted, round(0.7 * (count(*) / 1000.0) + 0.3 * least(1.0, count(*) / 15.0), 6) AS confidence FROM p WHERE d1 < d2 GROUP BY item")
 def q21b_weighted_votes(spark, d):
     votes = vectors.weighted_votes(_pairs(spark, d).filter("d1 < d2"), ["item"], "d1")
@@ -697,6 +721,14 @@ def q47_first_frames(spark, d):
     return frames.first_rows(table(spark, d, "events").select("event_id", "ts", "value"), ["ts", "event_id"], 100)
 
 
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents),
+    f AS (SELECT doc_id, w, min(p) AS p FROM w GROUP BY doc_id, w) SELECT doc_id, count(*) AS n_distinct, md5(string_agg(w, ' ' ORDER BY p)) AS words_md5 FROM f GROUP BY doc_id""")
+def q48_ordered_distinct(spark, d):
+    """The words of a text without repeats, in order of first appearance."""
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", strings.ordered_distinct(F.split("text", " ")).alias("words"))
+    return docs.select("doc_id", F.size("words").cast("long").alias("n_distinct"), F.md5(F.array_join("words", " ").cast("binary")).alias("words_md5"))
+
+
 # --- streams ------------------------------------------------------------------------------------------------------------
 
 

@@ -21,6 +21,11 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, version: str) -> DataF
     return last.select(key, *[F.col(f"__row.{c}").alias(c) for c in columns if c != key])
 
 
+def insert(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows added as they are; columns that they do not name are null."""
+    return base.unionByName(rows, allowMissingColumns=True).select(*base.columns)
+
+
 def padded_templates(rows: DataFrame, label: str, number: str, value: str, size: int = MAX_TEMPLATES) -> DataFrame:
     """Long templates to one row per label with ``size`` columns, null where there are fewer."""
     picks = [F.max(F.when(F.col(number) == i, F.col(value))).alias(f"t{i}") for i in range(1, size + 1)]
