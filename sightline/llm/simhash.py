@@ -8,6 +8,10 @@ of the corpus, is ever joined with itself. A list has at most 2^(8d) members wha
 verified on the bytes left over by probing for common one-bit neighbours, which is linear, and only a
 spanning forest of each list leaves it, so no group emits all its pairs and no link between fingerprints
 is lost to the components.
+
+Copies that an editor has changed differ in more bits than that. ``near_copies`` therefore takes a fingerprint of 64 bytes
+over the set of a text's shingles, posts it under fixed choices of three positional bytes, tallies the bits that a
+list's members share with its first, and verifies what remains by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -153,9 +157,163 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of each group, all columns kept; rows without a doc_id stay."""
+SKETCH_BYTES = 64
+KEY_BYTES = 3
+#: Choices of positional bytes that a sketch is posted under, 128 of them spread over its 64 bytes.
+PICKS = np.array([np.random.RandomState(7 + k).permutation(SKETCH_BYTES)[: SKETCH_BYTES // KEY_BYTES * KEY_BYTES].reshape(-1, KEY_BYTES) for k in range(7)]).reshape(-1, KEY_BYTES)[:128]
+#: Odd multipliers that make eight words of one shingle hash.
+SPREAD = np.array([(0x9E3779B97F4A7C15 * k & (1 << 64) - 1) | 1 for k in range(1, 9)], dtype=np.uint64)
+#: A list's members are one cluster if at most this many of 64 bits differ; similar texts differ in about 10, unlike ones in 32.
+TALLY_BITS = 22
+
+
+def shingle_set(text: str, width: int) -> np.ndarray:
+    """The sorted distinct XXH64 of a text's shingles (A-Z lower-cased; fewer words than ``width`` make one, none make an empty set)."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype="<u8"))
+
+
+def digest_of(shingles: np.ndarray) -> int:
+    """A signed 64-bit digest of a shingle set."""
+    return int(np.array([xxhash.xxh64_intdigest(shingles.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """The 64-byte SimHash of a shingle set; a tied bit is that of the least shingle, so that small sets are not biased to zeros."""
+    ones, first = np.zeros(8 * SKETCH_BYTES, np.int64), None
+    for i in range(0, len(shingles), 4096):
+        x = shingles[i : i + 4096, None] * SPREAD
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(32)
+        bits = np.unpackbits(x.view(np.uint8), axis=1)
+        first = bits[0] if first is None else first
+        ones += bits.sum(axis=0, dtype=np.int64)
+    if first is None:
+        return bytes(SKETCH_BYTES)
+    return np.packbits((ones * 2 > len(shingles)) | ((ones * 2 == len(shingles)) & (first == 1))).tobytes()
+
+
+def sketches(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, digest, sketch) of ``docs(doc_id, text)``."""
+
+    def batches(it):
+        for b in it:
+            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([digest_of(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "digest", "sketch"]
+            )
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(batches, "doc_id long, digest long, sketch binary")
+
+
+def stars(key: np.ndarray, node: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of key to (which rows lead, leaders, their members): a row joins the first leader of its list within ``TALLY_BITS``, else leads."""
+    starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1]) if len(key) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([starts, [len(key)]]))
+    leads, a, b = np.ones(len(key), bool), [], []
+    two = starts[sizes == 2]
+    two = two[np.bitwise_count(check[two] ^ check[two + 1]) <= TALLY_BITS]
+    leads[two + 1] = False
+    a.append(node[two])
+    b.append(node[two + 1])
+    for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        left = np.arange(s, s + n)
+        while len(left) > 1:
+            near = np.bitwise_count(check[left[1:]] ^ check[left[0]]) <= TALLY_BITS
+            members = left[1:][near]
+            leads[members] = False
+            a.append(np.full(len(members), node[left[0]]))
+            b.append(node[members])
+            left = left[1:][~near]
+    return leads, np.concatenate(a), np.concatenate(b)
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(a, b): pairs of digests of ``distinct(digest, sketch)`` to verify, a star for each cluster of each list.
+
+    A batch links its own clusters before it posts, so a group of copies reaches the shuffle as one row a key and batch, whatever its size.
+    A task holds the leaders of one list. Members of a list that are all unlike each other cost their square; by chance a list holds
+    one in 2^24 of the distinct texts.
+    """
+
+    def posts(it):
+        for b in it:
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            if not len(node):
+                continue
+            values = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, SKETCH_BYTES)
+            check = values[:, :8].copy().view(np.int64).ravel()
+            key = np.broadcast_to(np.arange(len(PICKS), dtype=np.int64), (len(node), len(PICKS)))
+            for p in range(KEY_BYTES):
+                key = key << 8 | values[:, PICKS[:, p]]
+            node, check, key = np.repeat(node, len(PICKS)), np.repeat(check, len(PICKS)), key.ravel()
+            order = np.lexsort((node, key))
+            node, check, key = node[order], check[order], key[order]
+            leads, a, b = stars(key, node, check)
+            near = np.unique(np.stack([a, b], axis=1), axis=0)
+            yield rows(key[leads], node[leads], check[leads], None)
+            yield rows(near[:, 1] ^ near[:, 0], near[:, 1], np.zeros(len(near), np.int64), near[:, 0])
+
+    def rows(key, node, check, leader):
+        leader = pa.array(leader, pa.int64()) if leader is not None else pa.nulls(len(key), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(check), leader], names=["key", "node", "check", "leader"])
+
+    def lists(it):
+        held = [np.zeros(0, np.int64)] * 3
+        for b in it:
+            done = b.column(3).is_valid().to_numpy(zero_copy_only=False)
+            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            yield links_of(b.column(3).drop_null().to_numpy(zero_copy_only=False), now[1][done])
+            key, node, check = (np.concatenate([h, n[~done]]) for h, n in zip(held, now))
+            leads, a, b = stars(key, node, check)
+            yield links_of(a, b)
+            if len(key):
+                last = leads & (key == key[-1])
+                held = [key[last], node[last], check[last]]
+
+    def links_of(a, b):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    posted = distinct.select("digest", "sketch").mapInArrow(posts, "key long, node long, check long, leader long")
+    return posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lists, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)`` with a doc_id: doc_id, component_id.
+
+    component_id is the smallest doc_id that links reach, itself included; a link is a pair from ``candidates`` whose sets of
+    ``width``-word shingles have a Jaccard similarity of at least ``similarity``, counted over the whole sets. Texts of equal sets are
+    linked; null texts are empty, and all texts without words are equal. An empty table gives an empty result, other columns are not read.
+    """
+    found = staged(sketches(docs.filter("doc_id is not null"), width), "sketches")
+    distinct = staged(found.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")), "distinct-sketches")
+    pairs = staged(candidates(distinct), "candidates")
+    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(distinct, "digest").select("doc_id").distinct()
+
+    def sets(it):
+        for b in it:
+            of = [shingle_set(t, width) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([digest_of(s) for s in of], pa.int64()), pa.array([s.view(np.int64) for s in of], pa.list_(pa.int64()))], names=["digest", "shingles"]
+            )
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ends, "doc_id", "left_semi")
+    sets = staged(texts.select("text").mapInArrow(sets, "digest long, shingles array<long>").dropDuplicates(["digest"]), "shingle-sets")
+    first, second = (sets.select(F.col("digest").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    near = pairs.join(first, "a").join(second, "b").filter(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+    joined = distinct.join(connected_components(near), F.col("digest") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("component"))
+    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(joined.join(least, "component").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with the document of smallest doc_id of each group of near copies, all columns kept; rows without a doc_id stay."""
     name = fresh(docs, "kept_id")
-    kept = near_duplicates(docs, width, bits).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = near_copies(docs, width, similarity).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     found = docs.join(kept, F.col("doc_id") == F.col(name), "left")
     return found.filter(F.col("doc_id").isNull() | F.col(name).isNotNull()).drop(name)

@@ -135,6 +135,46 @@ def test_near_duplicates_edges(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_copies_brute_force(spark):
+    """Groups of edited copies: every link is a pair of similar texts, and nearly all similar pairs are found."""
+    rng, texts = random.Random(3), []
+    for group in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([30, 90, 400]))]
+        for _ in range(4):
+            copy = list(words)
+            for at in rng.sample(range(len(words)), len(words) // 60):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+        texts.append(" ".join(words[: len(words) // 2] + [f"y{rng.randrange(10**6)}" for _ in words[::2]]))  # shares half
+    hot = [f"h{i}" for i in range(60)]
+    texts += [" ".join([*hot[:k], f"z{k}", *hot[k + 1 :]]) for k in range(2)] + [" ".join([*hot, f"z{i}"]) for i in range(300)]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    similar = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = components(len(texts), similar)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert all(want[i] == want[found[i]] for i in range(len(texts)))  # no group joins what brute force does not
+    assert sum(found[i] == want[i] for i in range(len(texts))) >= 0.97 * len(texts)
+    assert {found[i] for i in range(202, 502)} == {found[202]}
+
+
+def test_stars_take_every_row_once():
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 60, 2000))
+    check = rng.integers(0, 2**63, 40)[rng.integers(0, 40, 2000)]
+    leads, a, b = simhash.stars(key, np.arange(2000), check)
+    assert sorted([*np.nonzero(leads)[0], *b]) == list(range(2000)) and leads[a].all()
+    assert (key[a] == key[b]).all() and (np.bitwise_count(check[a] ^ check[b]) <= simhash.TALLY_BITS).all()
+    assert len(simhash.stars(key[:0], key[:0], check[:0])[0]) == 0
+
+
+def test_near_copies_edges(spark):
+    docs = edge_docs(spark)
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_copies(docs).collect()}
+    assert got == {(1, 1), (5, 1), (3, 2), (2, 2), (9, 2), (7, 7), (8, 7), (11, 11), (12, 12)}
+    assert simhash.near_copies(docs.limit(0)).count() == 0 == simhash.representatives(docs.limit(0)).count()
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(5, 5), (None, 3)]
     found = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
