@@ -159,8 +159,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 2) -> DataFrame
 
 SKETCH_BYTES = 64
 KEY_BYTES = 3
-#: Choices of positional bytes that a sketch is posted under, 128 of them spread over its 64 bytes.
-PICKS = np.array([np.random.RandomState(7 + k).permutation(SKETCH_BYTES)[: SKETCH_BYTES // KEY_BYTES * KEY_BYTES].reshape(-1, KEY_BYTES) for k in range(7)]).reshape(-1, KEY_BYTES)[:128]
+#: Choices of positional bytes that a sketch is posted under: eight deals of its 64 bytes into 21 triples.
+PICKS = np.array([np.random.RandomState(7 + k).permutation(SKETCH_BYTES)[: SKETCH_BYTES // KEY_BYTES * KEY_BYTES].reshape(-1, KEY_BYTES) for k in range(8)]).reshape(-1, KEY_BYTES)
 #: Odd multipliers that make eight words of one shingle hash.
 SPREAD = np.array([(0x9E3779B97F4A7C15 * k & (1 << 64) - 1) | 1 for k in range(1, 9)], dtype=np.uint64)
 #: A list's members are one cluster if at most this many of 64 bits differ; similar texts differ in about 10, unlike ones in 32.
@@ -210,11 +210,16 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(batches, "doc_id long, digest long, sketch binary")
 
 
+def by_list(key: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The order of rows by list; within lists one of four orders of nodes, which the list's choice of bytes names, so that leaders vary."""
+    return np.lexsort((node * SPREAD[: 4].view(np.int64)[key >> 8 * KEY_BYTES & 3], key))
+
+
 def stars(key: np.ndarray, node: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows in order of key to (which rows lead, leaders, their members): a row joins the first leader of its list within ``TALLY_BITS``, else leads."""
     starts = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1]) if len(key) else np.zeros(0, np.int64)
     sizes = np.diff(np.concatenate([starts, [len(key)]]))
-    leads, a, b = np.ones(len(key), bool), [], []
+    leads, a, b, check = np.ones(len(key), bool), [], [], check.view(np.uint64)  # the count of a negative number is that of its absolute value
     two = starts[sizes == 2]
     two = two[np.bitwise_count(check[two] ^ check[two + 1]) <= TALLY_BITS]
     leads[two + 1] = False
@@ -251,7 +256,7 @@ def candidates(distinct: DataFrame) -> DataFrame:
             for p in range(KEY_BYTES):
                 key = key << 8 | values[:, PICKS[:, p]]
             node, check, key = np.repeat(node, len(PICKS)), np.repeat(check, len(PICKS)), key.ravel()
-            order = np.lexsort((node, key))
+            order = by_list(key, node)
             node, check, key = node[order], check[order], key[order]
             leads, a, b = stars(key, node, check)
             near = np.unique(np.stack([a, b], axis=1), axis=0)
@@ -269,6 +274,8 @@ def candidates(distinct: DataFrame) -> DataFrame:
             now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             yield links_of(b.column(3).drop_null().to_numpy(zero_copy_only=False), now[1][done])
             key, node, check = (np.concatenate([h, n[~done]]) for h, n in zip(held, now))
+            order = by_list(key, node)
+            key, node, check = key[order], node[order], check[order]
             leads, a, b = stars(key, node, check)
             yield links_of(a, b)
             if len(key):
@@ -279,7 +286,7 @@ def candidates(distinct: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     posted = distinct.select("digest", "sketch").mapInArrow(posts, "key long, node long, check long, leader long")
-    return posted.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lists, "a long, b long").distinct()
+    return posted.repartition("key").sortWithinPartitions("key").mapInArrow(lists, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
