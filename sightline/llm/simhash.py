@@ -11,7 +11,9 @@ is lost to the components.
 
 Copies that an editor has changed differ in more bits than that. ``near_copies`` therefore takes a fingerprint of 64 bytes
 over the set of a text's shingles, posts it under fixed choices of three positional bytes, tallies the bits that a
-list's members share with its first, and verifies what remains by the shingles themselves.
+list's members share with its first, and verifies what remains by the shingles themselves. Similar sets may still never meet in a
+list, so a prefix filter over the shingles then compares the groups that the lists have made with each other, and no similar pair is
+lost to them: sets of the similarity wanted share one of their rarest shingles.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import fresh, staged, text_or_empty
+from sightline.llm.common import discard, fresh, staged, text_or_empty
 from sightline.llm.graph import connected_components
+from sightline.llm.words import ragged, slices
 
 SEED = 42
 
@@ -163,6 +166,10 @@ KEY_BYTES = 3
 PICKS = np.array([np.random.RandomState(7 + k).permutation(SKETCH_BYTES)[: SKETCH_BYTES // KEY_BYTES * KEY_BYTES].reshape(-1, KEY_BYTES) for k in range(8)]).reshape(-1, KEY_BYTES)
 #: Odd multipliers that make eight words of one shingle hash.
 SPREAD = np.array([(0x9E3779B97F4A7C15 * k & (1 << 64) - 1) | 1 for k in range(1, 9)], dtype=np.uint64)
+#: Parts of the shingles' hashes for each shuffle partition; a task counts the shingles of one part at a time.
+PARTS_PER_PARTITION = 8
+#: Pairs that are compared at once.
+PAIRS_AT_ONCE = 500_000
 #: A list's members are one cluster if at most this many of 64 bits differ; similar texts differ in about 10, unlike ones in 32.
 TALLY_BITS = 22
 
@@ -198,16 +205,45 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, digest, sketch) of ``docs(doc_id, text)``."""
+    """(doc_id, digest, sketch) of ``docs(doc_id, text)``, and besides the shingles of each slice of documents by parts of their hashes.
+
+    A slice has a row for each part, ``keys`` with four bytes of each shingle's hash and ``at`` with its document's number in the slice,
+    and one of part -1, with the documents' digests and numbers of shingles. Documents of equal sets are one in a slice.
+    """
+    parts = np.uint64(PARTS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def batches(it):
         for b in it:
-            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([digest_of(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "digest", "sketch"]
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(batches, "doc_id long, digest long, sketch binary")
+            for whole in slices(b, "text"):
+                for part in (whole.slice(i, 1 << 16) for i in range(0, whole.num_rows, 1 << 16)):
+                    sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
+                    digests = np.array([digest_of(s) for s in sets], np.int64)
+                    yield rows(part.num_rows, doc_id=part.column(0), digest=digests, sketch=pa.array([sketch(s) for s in sets], pa.binary()))
+                    firsts = np.unique(digests, return_index=True)[1]
+                    yield packed(digests[firsts], [sets[i] for i in firsts.tolist()])
+
+    def packed(digests, sets):
+        sizes = np.array([len(s) for s in sets], np.int64)
+        flat, at = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes).astype("<u2")
+        of, keys = ((flat >> np.uint64(32)) % parts).astype(np.int32), flat.astype("<u4")
+        order = np.argsort(of, kind="stable")
+        of, keys, at = of[order], keys[order], at[order]
+        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)] if len(of) else [0]
+        each = list(zip(cuts, cuts[1:]))
+        return rows(
+            len(each) + 1,
+            slice=np.full(len(each) + 1, digest_of(digests)),
+            part=np.array([-1, *of[cuts[:-1]]], np.int32),
+            keys=pa.array([digests.astype("<i8").tobytes(), *(keys[i:j].tobytes() for i, j in each)], pa.binary()),
+            at=pa.array([sizes.astype("<i8").tobytes(), *(at[i:j].tobytes() for i, j in each)], pa.binary()),
+        )
+
+    def rows(n, **columns):
+        kinds = {"doc_id": pa.int64(), "digest": pa.int64(), "sketch": pa.binary(), "slice": pa.int64(), "part": pa.int32(), "keys": pa.binary(), "at": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(columns[k]) if k in columns else pa.nulls(n, kind) for k, kind in kinds.items()], names=list(kinds))
+
+    schema = "doc_id long, digest long, sketch binary, slice long, part int, keys binary, at binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(batches, schema)
 
 
 def by_list(key: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -289,33 +325,134 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return posted.repartition("key").sortWithinPartitions("key").mapInArrow(lists, "a long, b long").distinct()
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row of ``docs(doc_id, text)`` with a doc_id: doc_id, component_id.
+def prefixes(packed: DataFrame, similarity: float) -> DataFrame:
+    """(key, digest, size, rest): the rarest shingles of each set that others have too, from the slices of ``sketches``.
 
-    component_id is the smallest doc_id that links reach, itself included; a link is a pair from ``candidates`` whose sets of
-    ``width``-word shingles have a Jaccard similarity of at least ``similarity``, counted over the whole sets. Texts of equal sets are
-    linked; null texts are empty, and all texts without words are equal. An empty table gives an empty result, other columns are not read.
+    Shingles are ordered by how many sets hold their key, then by key. A set of n shingles shares at least ``similarity * n`` with any that
+    is similar, so both hold one of the first ``n - ceil(similarity * n) + 1``; ``rest`` counts a set's shingles from the key on. Keys of
+    one set alone are counted only; keys that two shingles have by chance make more lists, never fewer.
     """
-    found = staged(sketches(docs.filter("doc_id is not null"), width), "sketches")
-    distinct = staged(found.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")), "distinct-sketches")
-    pairs = staged(candidates(distinct), "candidates")
+
+    def counted(table):
+        keys, at = ([np.frombuffer(x, kind) for x in table.column(k).to_pylist()] for k, kind in (("keys", "<u4"), ("at", "<u2")))
+        _, which, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+        out, start = [], 0
+        for k, d in zip(keys, at):
+            n = times[which[start : start + len(k)]]
+            start += len(k)
+            often = n > 1
+            out.append((k[often].tobytes(), d[often].tobytes(), n[often].astype("<u4").tobytes()))
+        columns = [table.column("slice"), table.column("part"), *(pa.array(x, pa.binary()) for x in zip(*out))]
+        return pa.table(columns, names=["slice", "part", "keys", "at", "times"])
+
+    def leading(table):
+        part = table.column("part").to_numpy()
+        keys, at, times = (table.column(k).to_pylist() for k in ("keys", "at", "times"))
+        own = int(np.flatnonzero(part == -1)[0])
+        digests, sizes = np.frombuffer(keys[own], "<i8"), np.frombuffer(at[own], "<i8")
+        others = np.flatnonzero(part >= 0).tolist()
+        key = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(keys[i], "<u4").astype(np.int64) | int(part[i]) << 32 for i in others)])
+        of = np.frombuffer(b"".join(at[i] for i in others), "<u2").astype(np.int64)
+        order = np.lexsort((key, np.frombuffer(b"".join(times[i] for i in others), "<u4"), of))
+        key, of = key[order], of[order]
+        count = np.bincount(of, minlength=len(sizes))
+        rest = (np.cumsum(count))[of] - np.arange(len(of))
+        first = np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])[: len(of)]
+        take = first & (rest >= np.ceil(similarity * sizes - 1e-6)[of])
+        of = of[take]
+        return pa.table([pa.array(key[take]), pa.array(digests[of]), pa.array(sizes[of]), pa.array(rest[take])], names=["key", "digest", "size", "rest"])
+
+    often = packed.filter("part >= 0").groupBy("part").applyInArrow(counted, "slice long, part int, keys binary, at binary, times binary")
+    slices = often.union(packed.filter("part = -1").select("slice", "part", "keys", "at", F.lit(None).cast("binary")))
+    return slices.groupBy("slice").applyInArrow(leading, "key long, digest long, size long, rest long")
+
+
+def left_over(lists: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs of digests to verify among ``lists(key, digest, size, rest, group)``, of one key and different groups.
+
+    Of a pair that may reach the similarity, one key at least passes the test of what both sets hold from it on. Members of one group are
+    not compared, so a group of copies costs its rows; lists of many groups cost their square.
+    """
+
+    def pairs(it):
+        held = [np.zeros(0, np.int64)] * 5
+        for b in it:
+            held = [np.concatenate([h, b.column(k).to_numpy(zero_copy_only=False)]) for k, h in enumerate(held)]
+            new = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
+            if len(new):
+                yield from compared(*(x[: new[-1]] for x in held))
+                held = [x[new[-1] :] for x in held]
+        yield from compared(*held)
+
+    def compared(key, digest, size, rest, group):
+        if len(key) < 2:
+            return
+        other = key[1:] != key[:-1]
+        list_end, group_end = (ends(x, len(key)) for x in (other, other | (group[1:] != group[:-1])))
+        count = list_end - group_end
+        rows = np.flatnonzero(count)
+        batch = np.cumsum(count[rows]) // PAIRS_AT_ONCE
+        for some in np.split(rows, np.flatnonzero(batch[1:] != batch[:-1]) + 1):
+            i, j = np.repeat(some, count[some]), ragged(group_end[some], count[some])
+            near = np.minimum(rest[i], rest[j]) >= similarity / (1 + similarity) * (size[i] + size[j]) - 1e-6
+            i, j = digest[i[near]], digest[j[near]]
+            found = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    def ends(change, n):
+        at = np.concatenate([np.flatnonzero(change) + 1, [n]])
+        return np.repeat(at, np.diff(at, prepend=0))
+
+    rows = lists.select("key", "digest", "size", "rest", "group").repartition("key").sortWithinPartitions("key", "group")
+    return rows.mapInArrow(pairs, "a long, b long").distinct()
+
+
+def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The ``pairs(a, b)`` of digests whose whole shingle sets have a Jaccard similarity of at least ``similarity``; staged."""
     ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct().join(distinct, "digest").select("doc_id").distinct()
 
     def sets(it):
         for b in it:
-            of = [shingle_set(t, width) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([digest_of(s) for s in of], pa.int64()), pa.array([s.view(np.int64) for s in of], pa.list_(pa.int64()))], names=["digest", "shingles"]
-            )
+            for part in slices(b, "text"):
+                of = [shingle_set(t, width) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([digest_of(s) for s in of], pa.int64()), pa.array([s.view(np.int64) for s in of], pa.list_(pa.int64()))], names=["digest", "shingles"]
+                )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ends, "doc_id", "left_semi")
     sets = staged(texts.select("text").mapInArrow(sets, "digest long, shingles array<long>").dropDuplicates(["digest"]), "shingle-sets")
     first, second = (sets.select(F.col("digest").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     near = pairs.join(first, "a").join(second, "b").filter(shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
-    joined = distinct.join(connected_components(near), F.col("digest") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("component"))
-    least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return found.join(joined.join(least, "component").select("digest", "component_id"), "digest").select("doc_id", "component_id")
+    near = staged(near, "near-pairs")
+    discard(docs.sparkSession, sets)
+    return near
+
+
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of ``docs(doc_id, text)`` with a doc_id: doc_id, component_id.
+
+    component_id is the smallest doc_id that links reach, itself included; a link is any pair whose sets of ``width``-word shingles have a
+    Jaccard similarity of at least ``similarity``, counted over the whole sets. Pairs from ``candidates`` make groups, and ``left_over``
+    compares what these groups' members share, so no link between groups is lost. Texts of equal sets are
+    linked; null texts are empty, and all texts without words are equal. An empty table gives an empty result, other columns are not read.
+    """
+    spark = docs.sparkSession
+    found = staged(sketches(docs.filter("doc_id is not null"), width), "sketches")
+    rows, packed = found.filter("slice is null"), found.filter("slice is not null")
+    distinct = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")), "distinct-sketches")
+    near = verified(docs, distinct, staged(candidates(distinct), "candidates"), width, similarity)
+
+    def groups(near):
+        return distinct.join(connected_components(near), F.col("digest") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("group"))
+
+    lists = prefixes(packed, similarity).join(groups(near).select("digest", "group"), "digest")
+    near = near.union(verified(docs, distinct, staged(left_over(lists, similarity), "left-over"), width, similarity))
+    joined = groups(near)
+    least = joined.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    named = staged(rows.join(joined.join(least, "group").select("digest", "component_id"), "digest").select("doc_id", "component_id"), "near-copies")
+    discard(spark, found)
+    return named
 
 
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

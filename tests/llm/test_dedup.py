@@ -181,3 +181,21 @@ def test_components_of_a_chain_and_a_hub(spark):
     found = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {i: 100 for i in range(100, 161)} | {i: 1 for i in range(1, 60)}
     assert graph.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_copies_lose_no_similar_pair(spark):
+    """Pairs just at the threshold, of small and of large sets, and sets that share only common shingles."""
+    rng, texts = random.Random(8), []
+    for pair in range(400):
+        n = rng.choice([5, 10, 20, 45, 90, 270])  # shingles of the lesser set
+        words = [f"p{pair}w{i}" for i in range(n + 4)]
+        more = n // 4 + (pair % 5 == 4)  # n of n + n // 4 shingles are shared; one more is too many
+        texts += [" ".join(words), " ".join(words + [f"p{pair}x{i}" for i in range(more)])]
+    common = [[f"c{k}w{i}" for i in range(9)] for k in range(12)]
+    texts += [" ".join(w for k in rng.sample(range(12), 6) for w in common[k]) for _ in range(60)]
+    sets = [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    similar = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(similar) >= 320
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    assert [found[i] for i in range(len(texts))] == components(len(texts), similar)
