@@ -167,7 +167,7 @@ PICKS = np.array([np.random.RandomState(7 + k).permutation(SKETCH_BYTES)[: SKETC
 #: Odd multipliers that make eight words of one shingle hash.
 SPREAD = np.array([(0x9E3779B97F4A7C15 * k & (1 << 64) - 1) | 1 for k in range(1, 9)], dtype=np.uint64)
 #: Parts of the shingles' hashes for each shuffle partition; a task counts the shingles of one part at a time.
-PARTS_PER_PARTITION = 8
+PARTS_PER_PARTITION = 4
 #: Pairs that are compared at once.
 PAIRS_AT_ONCE = 500_000
 #: A list's members are one cluster if at most this many of 64 bits differ; similar texts differ in about 10, unlike ones in 32.

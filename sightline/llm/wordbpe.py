@@ -1,4 +1,4 @@
-"""Token ids of whole texts under a word-level BPE of the tokenizers library, with a bounded memory of words.
+"""Token ids of whole texts under a word-level BPE of the tokenizers library, with a bounded memory of their parts.
 
 The vocabulary drops white space and never merges across it, so a text's ids are those of its words in turn. Words
 of plain Latin letters are lower-cased and split here by the tokenizer's own pattern, and their parts go to the library's BPE model;
@@ -40,7 +40,7 @@ class WordBpe:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.alphabet = str.maketrans({chr(b): c for b, c in _byte_alphabet().items()})
-        self.words, self.parts = Memory(), Memory()
+        self.memory = Memory()  # of parts, and of words that take the whole chain; other words are put together from their parts
 
     @classmethod
     def at(cls, path: str) -> WordBpe:
@@ -50,11 +50,11 @@ class WordBpe:
         return cls._open[path]
 
     def _part(self, part: str) -> bytes:
-        found = self.parts.get([part])[0]
+        found = self.memory.new.get(part) or self.memory.get([part])[0]
         if found is None:
             shown = part.encode().decode("latin1").translate(self.alphabet)
             found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-            self.parts.put(part, found)
+            self.memory.put(part, found)
         return found
 
     def _word(self, word: str) -> bytes:
@@ -64,14 +64,15 @@ class WordBpe:
             if word[:-1].isalpha() and word[-1] in ".,":
                 return self._part(word[:-1].lower()) + self._part(word[-1])
             return b"".join(map(self._part, PARTS.findall(word.lower())))
-        return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        ids = array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
+        self.memory.put(word, ids)
+        return ids
 
     def _remembered(self, found: list[str]) -> list[bytes]:
-        out = self.words.get(found)
+        out = self.memory.get(found)
         for i, ids in enumerate(out):
             if ids is None:
                 out[i] = self._word(found[i]) if found[i] else b""
-                self.words.put(found[i], out[i])
         return out
 
     def encode(self, text: str) -> bytes:

@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are split at once; a longer text is split alone.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Strings that a memory holds, and the characters of the longest.
-MEMORY, LONGEST_REMEMBERED = 800_000, 64
+MEMORY, LONGEST_REMEMBERED = 400_000, 64
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sightline.llm import chat, langid, mtree, packing, queries, tokens, toxicity
+from sightline.llm import chat, langid, mtree, packing, queries, tokens, toxicity, words
 from sightline.llm.common import table, vocabulary
 from sightline.llm.pieces import CountTransducer, PieceFst
 from sightline.llm.wordbpe import WordBpe
@@ -386,3 +386,15 @@ def test_transcript_edges(spark):
     assert len(got) == 6 and {r["role"] for r in got if r["conv_id"] == 3} == {"user"}
     assert chat.parsed(df.limit(0)).count() == 0
     assert chat.digests(chat.parsed(chat.transcript(df))).count() == 6
+
+
+def test_packing_remembers_each_part_once(monkeypatch):
+    """Words that differ by capitals, commas and hyphens share the memory of their parts, which keeps its bound."""
+    monkeypatch.setattr("sightline.llm.words.MEMORY", 400)
+    bpe, names = WordBpe(WORDS), ["".join(random.Random(i).choices("abcdefgh", k=7)) for i in range(600)]
+    texts = [" ".join([n, n.title(), n.upper() + ",", n + ".", f"{n}-{m}", n + "’s"]) for n, m in zip(names, names[1:])]
+    ids, sizes = bpe.encode_all(pa.array(texts))
+    want = [word_library().encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == [len(x) for x in want]
+    memories = [m for m in vars(bpe).values() if isinstance(m, words.Memory)]
+    assert sum(len(m.new) + len(m.old) for m in memories) <= 400
