@@ -50,6 +50,11 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished queries: it does so when the driver's JVM collects their plans."""
+    spark._jvm.System.gc()
+
+
 def text_or_empty(name: str = "text"):
     """A text column as a string whose null is empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

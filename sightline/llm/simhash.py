@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import discard, fresh, staged, text_or_empty
+from sightline.llm.common import discard, fresh, release_shuffles, staged, text_or_empty
 from sightline.llm.graph import connected_components
 from sightline.llm.words import ragged, slices
 
@@ -439,20 +439,24 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
     """
     spark = docs.sparkSession
     found = staged(sketches(docs.filter("doc_id is not null"), width), "sketches")
-    rows, packed = found.filter("slice is null"), found.filter("slice is not null")
+    rows = staged(found.filter("slice is null").select("doc_id", "digest", "sketch"), "set-digests")
+    lists = staged(prefixes(found.filter("slice is not null"), similarity), "prefixes")
+    discard(spark, found)  # before the lists of sketches are dealt
+    release_shuffles(spark)
     distinct = staged(rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch")), "distinct-sketches")
-    near = verified(docs, distinct, staged(candidates(distinct), "candidates"), width, similarity)
+    pairs = staged(candidates(distinct), "candidates")
+    release_shuffles(spark)
+    near = verified(docs, distinct, pairs, width, similarity)
+    release_shuffles(spark)
 
     def groups(near):
         return distinct.join(connected_components(near), F.col("digest") == F.col("node"), "left").select("digest", "doc_id", F.coalesce("component", "digest").alias("group"))
 
-    lists = prefixes(packed, similarity).join(groups(near).select("digest", "group"), "digest")
+    lists = lists.join(groups(near).select("digest", "group"), "digest")
     near = near.union(verified(docs, distinct, staged(left_over(lists, similarity), "left-over"), width, similarity))
     joined = groups(near)
     least = joined.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    named = staged(rows.join(joined.join(least, "group").select("digest", "component_id"), "digest").select("doc_id", "component_id"), "near-copies")
-    discard(spark, found)
-    return named
+    return rows.join(joined.join(least, "group").select("digest", "component_id"), "digest").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
